@@ -62,3 +62,33 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_rows(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns, for which the function of Arrow batches says true. No shuffle, no join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = function()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(apply(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def id_bucket(column: str, n: int):
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty string."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(n)
+
+
+def sampled(rows: DataFrame, key: str, by: str, bound: int | dict) -> DataFrame:
+    """Of each value of ``by`` about ``bound`` rows, picked by a hash of ``key``: one narrow count, then a filter without a shuffle."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    span = 1 << 30
+    share = F.lit(0)
+    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
+        limit = bound[value] if isinstance(bound, dict) else bound
+        share = F.when(F.col(by) == F.lit(value), F.lit(span if n <= limit else int(span * limit / n))).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(71)), F.lit(span)) < share)

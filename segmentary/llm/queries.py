@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .packing import best_fit_packing
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 PATTERN = public_tokenizers.PATTERN
 #: Places of vocabularies, given to the operators as parameters.
@@ -31,12 +33,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_best_fit_packing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_best_fit_packing, op7_toxicity, op8_language_id, op9_exact_dedup)}
 
 
 OP9_SQL = """
