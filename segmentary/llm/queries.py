@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .fingerprint import fingerprint_edits
+from .html_text import extract
 from .language_id import language_id
 from .packing import best_fit_packing
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .url_filter import url_filter
 
 PATTERN = public_tokenizers.PATTERN
 #: Places of vocabularies, given to the operators as parameters.
@@ -25,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), RANKS_MULTI, PATTERN)
 
@@ -33,6 +40,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN)
 
 
+RULES = "VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {RULES}"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +59,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_best_fit_packing, op7_toxicity, op8_language_id, op9_exact_dedup)}
+    all_of_them = (
+        op1_token_counts, op2_html_text, op3_byte_bpe, op4_best_fit_packing, op6_url_filter, op7_toxicity, op8_language_id, op9_exact_dedup, op10_fingerprints,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 OP9_SQL = """
@@ -58,5 +79,20 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+OP6_SQL = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages
+), r AS (SELECT * FROM ({RULES.replace(" AS rules(host, path, verdict)", "")}) AS rules(host, path, verdict)),
+n AS (SELECT row_number() OVER () AS k, * FROM u),
+f AS (
+  SELECT n.k, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY n.k ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+  FROM n JOIN r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+)
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM n LEFT JOIN f ON n.k = f.k AND f.place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
