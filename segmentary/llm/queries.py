@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits
 from .html_text import extract
 from .language_id import language_id
+from .minhash import near_dedup
 from .packing import best_fit_packing
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -40,6 +41,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=3, least=(85, 100))
+
+
 RULES = "VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)"
 
 
@@ -65,7 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
-        op1_token_counts, op2_html_text, op3_byte_bpe, op4_best_fit_packing, op6_url_filter, op7_toxicity, op8_language_id, op9_exact_dedup, op10_fingerprints,
+        op1_token_counts, op2_html_text, op3_byte_bpe, op4_best_fit_packing, op5_minhash, op6_url_filter, op7_toxicity, op8_language_id, op9_exact_dedup, op10_fingerprints,
     )
     return {f.__name__: f for f in all_of_them}
 
@@ -79,6 +84,22 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 2], ' ') END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 OP6_SQL = rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -95,4 +116,4 @@ SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_minhash": OP5_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
