@@ -11,6 +11,8 @@ lookahead. States and transitions are made when first met and kept in tables.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import map_batches, texts_of
 
 #: Entries after which a worker's memo of words and table of states start anew.
-MEMO, STATES = 1 << 18, 1 << 18
+MEMO, STATES = 1 << 19, 1 << 18
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -217,6 +219,8 @@ class Encoder(dict):
         self.table = [b""] * size
         for k, v in ranks.items():
             self.table[v] = k
+        self.sizes = np.array([len(x) for x in self.table], np.int64)
+        self.flat, self.starts = np.frombuffer(b"".join(self.table), np.uint8), np.cumsum(self.sizes) - self.sizes
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
@@ -228,7 +232,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ids = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)].tobytes()
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -237,6 +244,18 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+@contextlib.contextmanager
+def no_collection():
+    """Without the collector of cycles: the tables grow by millions of tuples, hold no cycles, and would be walked again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _ready: dict[tuple, Encoder] = {}
 
 
@@ -264,14 +283,15 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
         encoder = encoder_of(data.value, pattern)
 
         def apply(batch):
-            out = {"doc_id": batch.column(0)} | {k: [] for k in kinds}
-            for text in texts_of(batch):
-                ids = encoder.ids(text)
-                decoded = encoder.decode(ids)
-                row = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest(), "ids": ids, "decoded": decoded}
-                for k in keep:
-                    out[k].append(row[k])
-            return {k: out[k] for k in ("doc_id", *keep)}
+            out = {"doc_id": batch.column(0)} | {k: [] for k in keep}
+            with no_collection():
+                for text in texts_of(batch):
+                    ids = encoder.ids(text)
+                    decoded = encoder.decode(ids)
+                    row = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest(), "ids": ids, "decoded": decoded}
+                    for k in keep:
+                        out[k].append(row[k])
+            return out
 
         return apply
 
