@@ -29,14 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/segmentary/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` into the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Results read these files, so they stay until ``release``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/segmentary/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote into the shared folder, once its results have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def struct_of(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
 
