@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +21,14 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="segmentary-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="segmentary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, which is on one machine, a folder of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
 
 
 def _folder(spark: SparkSession) -> str:

@@ -479,15 +479,12 @@ def test_fingerprints_are_homomorphic(spark):
     assert list(rows.select(v["x"] == v["y"], P.added(v["p"], v["q"]) == v["x"], P.added(v["x"], v["q"], -1) == v["p"], P.likeness(v["x"], v["y"])).first()) == [True, True, True, 1.0]
 
 
-def test_shared_folder(spark, tmp_path):
-    from segmentary.llm._common import materialize, release, shared_dir
-
-    before = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert materialize(spark.range(5)).count() == 5
-        assert list((tmp_path / "segmentary").glob("*/*/*.parquet"))
-        release(spark)
-        assert not list((tmp_path / "segmentary").iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from segmentary.llm import _common
+
+    assert _common.shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or _common._own_dir())
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert _common.materialize(spark.range(5)).count() == 5
+    assert list((tmp_path / "segmentary").glob("*/*/*.parquet"))
+    _common.release(spark)
+    assert not list((tmp_path / "segmentary").iterdir())
