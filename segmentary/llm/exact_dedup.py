@@ -10,8 +10,9 @@ their whole content was compared:
 
 Membership then goes back to the rows by digest alone, which is narrow. That is exact as stage 3 has
 shown that a digest has one text; should two texts ever share a digest the query stops with an error
-instead of merging them. The join's only large side is (id, digest), and a hot digest is split by
-adaptive skew handling, as the other side has one row for each digest.
+instead of merging them. The groups are written to the shared folder first: so both sides of that join
+are plain, adaptive execution can split a hot digest's rows, and a lost executor doesn't bring the
+text shuffles back.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii
+from ._common import lower_ascii, materialize
 
 SALTS = 16
 
@@ -30,8 +31,14 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def text_groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``rows`` (id, norm, digest) to one row a digest: digest, keep_id, group_size."""
+def normal(text: str = "text") -> Column:
+    """The text as it is compared."""
+    return lower_ascii(F.coalesce(F.col(text), F.lit("")))
+
+
+def text_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``docs`` (doc_id, text) to one row a digest: digest, keep_id, group_size."""
+    rows = docs.select(F.col("doc_id").alias("id"), normal().alias("norm")).withColumn("digest", digest(F.col("norm")))
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         .groupBy("digest", "salt", "norm")
@@ -40,30 +47,26 @@ def text_groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     whole = salted.groupBy("digest", "norm").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
     one = whole.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     clash = F.raise_error(F.concat(F.lit("different texts share the digest "), F.hex("digest"))).cast("long")
-    return one.select("digest", F.col("keep").alias("keep_id"), F.when(F.col("texts") > 1, clash).otherwise(F.col("n")).alias("group_size"))
+    return materialize(one.select("digest", F.col("keep").alias("keep_id"), F.when(F.col("texts") > 1, clash).otherwise(F.col("n")).alias("group_size")))
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256, carry: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest doc_id stays.
     Null text counts as empty, and all empty texts are equal. A null doc_id loses against any other;
     where all ids of a group are null, all its rows are kept. Rows repeated under one id share its
-    fate. An empty table gives an empty result; further columns are ignored, or with ``carry``
-    returned as well (a column of ours wins a clash).
+    fate. An empty table gives an empty result; further columns are ignored.
     """
-    norm = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").alias("id"), norm.alias("norm"))
-    groups = text_groups(rows.withColumn("digest", digest(F.col("norm"))), salts)
-    ours = {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}
-    extra = [docs[c] for c in docs.columns if c not in ours] if carry else []
-    back = docs.select("doc_id", *extra, digest(norm).alias("__digest"), *([] if digest is sha256 else [F.sha2(norm, 256).alias("__sha")]))
-    joined = back.join(groups.withColumnRenamed("digest", "__digest"), "__digest")
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        (F.lower(F.hex("__digest")) if digest is sha256 else F.col("__sha")).alias("text_sha256"),
-        *[c for c in (docs.columns if carry else []) if c not in ours],
-    )
+    groups = text_groups(docs, salts, digest)
+    sha = [] if digest is sha256 else [F.sha2(normal(), 256).alias("sha")]
+    joined = docs.select("doc_id", digest(normal()).alias("digest"), *sha).join(groups, "digest")
+    text_sha = F.col("sha") if sha else F.lower(F.hex("digest"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), text_sha.alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
+    groups = text_groups(docs, salts)
+    rows = docs.select(sha256(normal()).alias("digest"), F.struct(*docs.columns).alias("row"))
+    return rows.join(groups, "digest").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
