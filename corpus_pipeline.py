@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmentary.llm import language_id as languages
 from segmentary.llm import toxicity as toxic
 from segmentary.llm._common import materialize, table
-from segmentary.llm.exact_dedup import exact_dedup
+from segmentary.llm.exact_dedup import keep_one
 from segmentary.llm.minhash import BROADCAST_ROWS, near_dedup
 from segmentary.llm.packing import best_fit_packing
 from segmentary.llm.queries import PATTERN, RANKS_50K
@@ -26,7 +26,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document of the largest id."""
-    return exact_dedup(docs, carry=True).filter("kept").select(*docs.columns)
+    return keep_one(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
