@@ -6,12 +6,15 @@ rather than half * half * 2 * rows. A document that shares no A[i] with another
 table keys are formed.
 
 1. Documents with one shingle set are one class, represented by its smallest id.
-2. Representatives meet in tables. Of buckets with the same members one is kept. Each member is
-   paired with the bucket's leader, its smallest id: as many pairs as members, never all pairs.
+2. Representatives meet in tables. Of buckets with the same members one is kept. A member's weight is
+   the size of all its buckets together, which is large for the text that a family of copies comes
+   from. Each member is paired with the bucket's leader, the heaviest: as many pairs as members.
 3. Pairs are verified on the full shingle sets, and verified links give components.
 4. A bucket whose members are still in several components is asked again: a small one (``SMALL``) for
-   all its pairs across components, a larger one with one leader for each of 1, 2, 4, ... further
-   components, until each component of it has had a leader that was held against all other members.
+   all its pairs across components, a larger one for its members with the leaders of its ``LEADERS``
+   heaviest components; and so on until that finds no new link. So the pairs grow with the members,
+   never with their square. A link between two texts that share large buckets only, neither of them
+   linked with a leader, can be lost by that.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .components import components
 
 HALF, ROWS = 8, 2
 SMALL = 16
+LEADERS = 4
 MEMO = 1 << 18
 #: Ids or pairs (16 bytes each) up to which they are sent to all executors; above, tables are joined by shuffles.
 BROADCAST_ROWS = 1 << 18
@@ -109,14 +113,25 @@ def signatures(docs: DataFrame, words: int, half: int, rows: int) -> DataFrame:
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """Representatives to (key, id, leader, size), of the buckets with two members or more, one of those with equal members."""
+    """Representatives to (key, id, weight, size), of the buckets with two members or more, one of those with equal members."""
     left = members.filter("id = rep AND a IS NOT NULL").select("id", "b", F.posexplode("a").alias("i", "x")).select("id", "b", F.xxhash64("i", "x").alias("ha"))
     shared = left.groupBy("ha").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("ha")
     keys = left.join(shared, "ha").select("id", "ha", F.posexplode("b").alias("j", "y")).select("id", F.xxhash64("ha", "j", "y").alias("key"))
     keys = materialize(keys)
-    sums = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sign")).filter("size > 1")
-    chosen = materialize(sums.groupBy("leader", "size", "sign").agg(F.min("key").alias("key")).drop("sign"))
-    return keys.join(chosen, "key")
+    sums = keys.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sign")).filter("size > 1")
+    chosen = materialize(sums.groupBy("low", "size", "sign").agg(F.min("key").alias("key")).select("key", "size"))
+    found = materialize(keys.join(chosen, "key"))
+    weights = materialize(found.groupBy("id").agg(F.sum("size").alias("weight")))
+    return materialize(found.join(weights, "id"))
+
+
+def heaviest(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each group the weight and id (v) of the heaviest member, of equals the smallest id."""
+    return rows.groupBy(*by).agg(F.max("weight").alias("top"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("m")).select(*by, "top", (-F.col("m.id")).alias("v"))
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
@@ -133,19 +148,21 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]
     def start():
         shingler, kept = Shingler(words), OrderedDict()
 
-        def leader(v: int, text: str) -> np.ndarray:
-            known = kept.get(v)
+        def of(doc: int, text: str) -> np.ndarray:
+            known = kept.get(doc)
             if known is None or known[0] != text:
-                known = kept[v] = (text, shingler.of(text))
-                if len(kept) > 32:
+                known = kept[doc] = (text, shingler.of(text))
+                if len(kept) > 64:
                     kept.popitem(last=False)
+            else:
+                kept.move_to_end(doc)
             return known[1]
 
         def apply(batch):
             us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: dict[str, list] = {"u": [], "v": []}
             for u, v, s, t in zip(us, vs, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingler.of(s), leader(v, t)
+                x, y = of(u, s), of(v, t)
                 if min(len(x), len(y)) * least[1] < max(len(x), len(y)) * least[0] or not len(x):
                     continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -161,8 +178,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]
 
 
 def unresolved(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, id, size, root) of the buckets that have several components."""
-    rooted = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("found")), "id", "left").select("key", "id", "size", F.coalesce("found", "id").alias("root"))
+    """Members (key, id, weight, size, root) of the buckets that have several components."""
+    rooted = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("found")), "id", "left").select("key", "id", "weight", "size", F.coalesce("found", "id").alias("root"))
     rooted = materialize(rooted)
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     return materialize(rooted.join(several, "key"))
@@ -180,31 +197,28 @@ def near_dedup(docs: DataFrame, words: int = 5, least: tuple[int, int] = (80, 10
     known = materialize(signatures(docs, words, half, rows))
     classes = materialize(known.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
     members = materialize(known.join(classes, "digest", "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("a")).alias("a"), F.when(F.col("id") == F.col("rep"), F.col("b")).alias("b")))
-    found = materialize(buckets(members))
-    asked = materialize(found.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct())
+    found = buckets(members)
+    asked = materialize(found.join(heaviest(found, "key"), "key").filter("id <> v").select(*ordered("id", "v")).distinct())
     links = materialize(verify(asked, docs, words, least))
-    roots = components(links)
-    left, leaders = found.filter("size > 2"), 1
+    roots, left = components(links), found.filter("size > 2")
     while True:
         left = unresolved(left, roots)
+        if left.isEmpty():
+            break
         small = left.filter(F.col("size") <= SMALL)
         pairs = small.select("key", F.col("id").alias("u"), F.col("root").alias("r")).join(small.select("key", F.col("id").alias("v"), F.col("root").alias("q")), "key").filter("u > v AND r <> q").select("u", "v")
         large = left.filter(F.col("size") > SMALL)
-        heads = large.groupBy("key", "root").agg(F.min("id").alias("v")).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root")))
-        heads = heads.filter(F.col("k") <= leaders).select("key", "v", F.col("root").alias("q"))
-        pairs = pairs.unionByName(large.join(heads, "key").filter("root <> q").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("top").desc(), "v"))
+        heads = heaviest(large, "key", "root").withColumn("k", place).filter(F.col("k") <= LEADERS).select("key", "v", F.col("root").alias("q"))
+        pairs = pairs.unionByName(large.join(heads, "key").filter("root <> q").select(*ordered("id", "v")))
         pairs = materialize(pairs.distinct().join(asked, ["u", "v"], "left_anti"))
-        if leaders > 1 and pairs.isEmpty() and heads.count() == large.groupBy("key", "root").count().count():
+        if pairs.isEmpty():
             break
-        if not pairs.isEmpty():
-            more = materialize(verify(pairs, docs, words, least))
-            asked = asked.unionByName(pairs)
-            if not more.isEmpty():
-                links = materialize(links.unionByName(more))
-                roots = components(links)
-        leaders *= 2
-        if left.isEmpty():
+        more = materialize(verify(pairs, docs, words, least))
+        if more.isEmpty():
             break
+        asked, links = asked.unionByName(pairs), materialize(links.unionByName(more))
+        roots = components(links)
     of_rep = roots.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     # an id with several texts can have several representatives: the classes then hang together by it
     ids = members.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("c"))
