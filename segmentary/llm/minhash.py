@@ -10,11 +10,11 @@ table keys are formed.
    the size of all its buckets together, which is large for the text that a family of copies comes
    from. Each member is paired with the bucket's leader, the heaviest: as many pairs as members.
 3. Pairs are verified on the full shingle sets, and verified links give components.
-4. A bucket whose members are still in several components is asked again: a small one (``SMALL``) for
-   all its pairs across components, a larger one for its members with the leaders of its ``LEADERS``
-   heaviest components; and so on until that finds no new link. So the pairs grow with the members,
-   never with their square. A link between two texts that share large buckets only, neither of them
-   linked with a leader, can be lost by that.
+4. Of a bucket whose members are then still in several components, all pairs across components are
+   decided: in a small one (``SMALL``) as pairs like those of step 3. Larger ones that share members
+   are a family; its members are dealt into blocks of bounded size, and for each two blocks one task
+   holds all sets of the one against all of the other, by a product of matrices. So no pair of a large
+   bucket is a row anywhere, none is left out, and a member is sent as often as its family has blocks.
 """
 
 from __future__ import annotations
@@ -23,17 +23,20 @@ import hashlib
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import map_batches, materialize
 from .components import components
 
 HALF, ROWS = 8, 2
 SMALL = 16
-LEADERS = 4
+#: Shingles of a block of a family, about; a member counts as MEMBER more, so that members are bounded, too.
+BLOCK, MEMBER = 1 << 17, 128
+#: Shingles that are a matrix at a time.
+COLUMNS = 1 << 12
 MEMO = 1 << 18
 #: Ids or pairs (16 bytes each) up to which they are sent to all executors; above, tables are joined by shuffles.
 BROADCAST_ROWS = 1 << 18
@@ -178,13 +181,101 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]
 
 
 def unresolved(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, id, weight, size, root) of the buckets that have several components."""
-    rooted = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("found")), "id", "left").select("key", "id", "weight", "size", F.coalesce("found", "id").alias("root"))
+    """Members (key, id, size, root) of the buckets that have several components."""
+    each = found.groupBy("id").agg(F.collect_list(F.struct("key", "size")).alias("in"))  # at most one for each table
+    rooted = each.join(roots.select(F.col("u").alias("id"), F.col("v").alias("found")), "id", "left").select("id", F.coalesce("found", "id").alias("root"), F.inline("in"))
     rooted = materialize(rooted)
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     return materialize(rooted.join(several, "key"))
 
 
+def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``xs`` has in common with each of ``ys``."""
+    out = np.zeros((len(xs), len(ys)), np.float32)  # whole numbers below 2^24 are exact
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (xs, ys)]
+    both = np.intersect1d(*(tokens for tokens, _ in sides))
+    if not len(both):
+        return out
+    places = []
+    for tokens, rows in sides:
+        at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+        here = both[at] == tokens
+        order = np.argsort(at[here], kind="stable")
+        places.append((at[here][order], rows[here][order]))
+    (p, a), (q, b) = places
+    m, n = np.bincount(p, minlength=len(both)), np.bincount(q, minlength=len(both))
+    rare = m * n <= max(1, out.size >> 9)
+    # rare shingles pair by pair
+    start, other, each = np.cumsum(m) - m, np.cumsum(n) - n, np.where(rare, m * n, 0)
+    for low in range(0, len(both), COLUMNS):
+        part = slice(low, low + COLUMNS)
+        k = np.repeat(np.arange(len(both))[part], each[part])
+        off = np.arange(len(k)) - np.repeat(np.cumsum(each[part]) - each[part], each[part])
+        np.add.at(out, (a[start[k] + off // n[k]], b[other[k] + off % n[k]]), 1)
+    # the others as columns of matrices
+    column = np.cumsum(~rare) - 1
+    for low in range(0, int((~rare).sum()), COLUMNS):
+        mats = []
+        for at, rows, size in ((p, a, len(xs)), (q, b, len(ys))):
+            c = column[at] - low
+            here = ~rare[at] & (c >= 0) & (c < COLUMNS)
+            mat = np.zeros((size, COLUMNS), np.float32)
+            mat[rows[here], c[here]] = 1
+            mats.append(mat)
+        out += mats[0] @ mats[1].T
+    return out
+
+
+def joining(xs: list[tuple], ys: list[tuple], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Of the links between members (id, root, set) of ``xs`` and of ``ys`` enough to join all roots that they join."""
+    sizes = [np.array([len(s) for _, _, s in side], np.int64) for side in (xs, ys)]
+    shared = common([s for _, _, s in xs], [s for _, _, s in ys]).astype(np.int64)
+    linked = least[1] * shared >= least[0] * (sizes[0][:, None] + sizes[1][None, :] - shared)
+    linked &= np.array([r for _, r, _ in xs])[:, None] != np.array([r for _, r, _ in ys])[None, :]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in zip(*(at.tolist() for at in np.nonzero(linked)), strict=True):
+        r, q = find(xs[i][1]), find(ys[j][1])
+        if r != q:
+            parent[r] = q
+            out.append((max(xs[i][0], ys[j][0]), min(xs[i][0], ys[j][0])))
+    return out
+
+
+def within_families(large: DataFrame, members: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """Links (u, v) that join all components which any link between members of one family joins. ``large``: key, id, root."""
+    heads = large.groupBy("key").agg(F.min("id").alias("head"))
+    family = components(large.join(heads, "key").select(F.col("id").alias("u"), F.col("head").alias("v")))
+    sizes = members.groupBy("id").agg(F.sum(F.col("n") + MEMBER).alias("n"))
+    rows = large.select("id", "root").distinct().join(family.select(F.col("u").alias("id"), F.col("v").alias("f")), "id", "left").join(sizes, "id")
+    rows = materialize(rows.select("id", "root", "n", F.coalesce("f", "id").alias("family")))
+    blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    dealt = rows.join(blocks, "family").select("id", "root", "family", "blocks", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"))
+    dealt = materialize(dealt)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    known = texts.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = known.select("id", "root", "family", "block", "text", other).select("id", "root", "block", "text", "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def decide(group: pa.Table) -> pa.Table:
+        shingler, sides = Shingler(words), {}
+        for i, root, block, text in zip(*(group.column(c).to_pylist() for c in ("id", "root", "block", "text")), strict=True):
+            if len(s := shingler.of(text)):
+                sides.setdefault(block, []).append((i, root, s))
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        found = joining(sides[x], sides[y], least) if x in sides and y in sides else []
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return sent.groupBy("family", "x", "y").applyInArrow(decide, "u long, v long")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, least: tuple[int, int] = (80, 100), half: int = HALF, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -200,24 +291,15 @@ def near_dedup(docs: DataFrame, words: int = 5, least: tuple[int, int] = (80, 10
     found = buckets(members)
     asked = materialize(found.join(heaviest(found, "key"), "key").filter("id <> v").select(*ordered("id", "v")).distinct())
     links = materialize(verify(asked, docs, words, least))
-    roots, left = components(links), found.filter("size > 2")
-    while True:
-        left = unresolved(left, roots)
-        if left.isEmpty():
-            break
-        small = left.filter(F.col("size") <= SMALL)
-        pairs = small.select("key", F.col("id").alias("u"), F.col("root").alias("r")).join(small.select("key", F.col("id").alias("v"), F.col("root").alias("q")), "key").filter("u > v AND r <> q").select("u", "v")
-        large = left.filter(F.col("size") > SMALL)
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("top").desc(), "v"))
-        heads = heaviest(large, "key", "root").withColumn("k", place).filter(F.col("k") <= LEADERS).select("key", "v", F.col("root").alias("q"))
-        pairs = pairs.unionByName(large.join(heads, "key").filter("root <> q").select(*ordered("id", "v")))
-        pairs = materialize(pairs.distinct().join(asked, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        more = materialize(verify(pairs, docs, words, least))
-        if more.isEmpty():
-            break
-        asked, links = asked.unionByName(pairs), materialize(links.unionByName(more))
+    roots = components(links)
+    left = unresolved(found.filter("size > 2"), roots)
+    small, large = left.filter(F.col("size") <= SMALL), left.filter(F.col("size") > SMALL)
+    pairs = small.select("key", F.col("id").alias("u"), F.col("root").alias("r")).join(small.select("key", F.col("id").alias("v"), F.col("root").alias("q")), "key").filter("u > v AND r <> q").select("u", "v")
+    more = materialize(verify(materialize(pairs.distinct().join(asked, ["u", "v"], "left_anti")), docs, words, least))
+    if not large.isEmpty():
+        more = more.unionByName(materialize(within_families(large, members, docs, words, least)))
+    if not more.isEmpty():
+        links = materialize(links.unionByName(more))
         roots = components(links)
     of_rep = roots.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     # an id with several texts can have several representatives: the classes then hang together by it

@@ -266,6 +266,24 @@ def test_near_dedup_by_shuffles_and_leaders(spark, corpus, monkeypatch):
     assert sorted(tuple(r) for r in found) == brute_components(corpus, 3, 85, 100)
 
 
+def large_family(k, seed=3, n=200, every=4, share=0.14):
+    """Texts of ``n`` words, every fourth of which is one of two: large buckets, and links between any members."""
+    rng = random.Random(seed)
+    return [(i + 1, " ".join(f"x{at}" if at % every == 0 and rng.random() < share else f"w{at}" for at in range(n))) for i in range(k)]
+
+
+def test_near_dedup_large_family(spark):
+    rows = large_family(500)
+    found = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()
+    assert sorted(tuple(r) for r in found) == brute_components(rows, 3, 85, 100)
+
+
+def test_common():
+    rng = np.random.default_rng(4)
+    xs, ys = ([np.unique(rng.integers(0, top, size)).astype(np.uint64) for top in (50, 9000) for size in range(1, 400, 9)] for _ in range(2))
+    assert M.common(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+
+
 def test_near_dedup_odd(spark, odd, none):
     found = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in M.near_dedup(odd, 3, (85, 100)).collect())
     by_id = {f[0]: f[1:] for f in found}
