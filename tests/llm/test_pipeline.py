@@ -53,3 +53,11 @@ def test_clashing_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert {"kept", "row", "digest"} <= set(docs.columns) and docs.first()["kept"] == "kept"
+
+
+def test_near_copies_of_a_large_family(spark):
+    from test_llm import brute_components, large_family
+
+    rows = large_family(700)
+    found = corpus_pipeline.no_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["doc_id"] for r in found.collect()) == [i for i, _, _, kept in brute_components(rows, 5, 80, 100) if kept]
