@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled documents: whole words and word stems that stand out in toxic
 ones. Words of a text meet it through a trie: an exact word, a word that begins with a learned stem, or
-a misspelled word, which the automaton of the word accepts in its intersection with the trie. Each hit
+a misspelled word, which the automaton of the word accepts in its intersection with the trie; that
+holds for whole words under a stem, too, and for any letter of a word of ``FUZZY`` letters. Each hit
 counts by how it is used: within quotation marks or beside a word of reporting it weighs less than
 when it addresses somebody. A logistic curve fitted on the same labelled sample makes that a score.
 """
@@ -64,10 +65,24 @@ class LevenshteinAutomaton:
         return min((e + len(self.word) - i for i, e in state if e + len(self.word) - i <= self.k), default=None)
 
 
+def allowed(word: str) -> int:
+    """Edits that a word of this length may have."""
+    return (len(word) >= FUZZY[0]) + (len(word) >= FUZZY[1])
+
+
+def shortened(word: str, k: int) -> set[str]:
+    """The word with up to ``k`` letters left out. Words within ``k`` edits have one of these in common."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
-    """Words, and stems that any ending may follow, with weights."""
+    """Words, and stems that any ending may follow, with weights. ``covered``: words under a stem, which only misspellings need."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], covered: dict[str, float] | None = None) -> None:
         self.root: dict = {}
         for table, mark in ((words, "="), (stems, "*")):
             for word, weight in table.items():
@@ -75,7 +90,16 @@ class Trie:
                 for c in word:
                     node = node.setdefault(c, {})
                 node[mark + "w"] = (word, weight)
-        self.shapes = {(w[0], len(w)) for w in words}
+        for word, weight in (covered or {}).items():
+            known, node = self.exact(word), self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node["~w"] = (word, max(weight, known))
+        self.entries = [w for w in {**words, **(covered or {})} if allowed(w)]
+        self.shapes: set[str] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shapes": None}
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -88,18 +112,19 @@ class Trie:
         return max(best, node["=w"][1]) if "=w" in node else best
 
     def near(self, word: str) -> tuple[float, int, str] | None:
-        """Weight, edits and entry of the best entry that the automaton of ``word`` accepts; the first letters must agree."""
-        k = (len(word) >= FUZZY[0]) + (len(word) >= FUZZY[1])
-        if not k or not any((word[0], n) in self.shapes for n in range(len(word) - k, len(word) + k + 1)):
+        """Weight, edits and entry of the best entry that the automaton of ``word`` accepts."""
+        if self.shapes is None:
+            self.shapes = {x for w in self.entries for x in shortened(w, allowed(w))}
+        k = allowed(word)
+        if not k or self.shapes.isdisjoint(shortened(word, k)):
             return None
         machine, best = LevenshteinAutomaton(word, k), None
-        node = self.root.get(word[0])
-        todo = [(node, machine.step(machine.start(), word[0]))] if node else []
+        todo = [(self.root, machine.start())]
         while todo:
             node, state = todo.pop()
-            if "=w" in node and (edits := machine.edits(state)) is not None:
-                entry, weight = node["=w"]
-                if edits <= (len(entry) >= FUZZY[0]) + (len(entry) >= FUZZY[1]):
+            if (end := node.get("=w") or node.get("~w")) and (edits := machine.edits(state)) is not None:
+                entry, weight = end
+                if edits <= allowed(entry):
                     found = (weight, edits, entry)
                     best = min(best or found, found, key=lambda x: (x[1], -x[0], x[2]))
             for c, to in node.items():
@@ -111,8 +136,8 @@ class Trie:
 class Model:
     """Lexicon, ordinary words that only look like its entries, and the curve."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset = frozenset(), curve: tuple[float, float] = (3.0, -2.0)) -> None:
-        self.trie, self.ordinary, self.curve = Trie(words, stems), ordinary, curve
+    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset = frozenset(), curve: tuple[float, float] = (3.0, -2.0), covered: dict[str, float] | None = None) -> None:
+        self.trie, self.ordinary, self.curve = Trie(words, stems, covered), ordinary, curve
         self.memo: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
@@ -184,10 +209,13 @@ def features(text: str) -> set[str]:
     return {"=" + w for w in words if len(w) > 2} | {"*" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
-def choose(counts: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Entries from (feature, toxic documents, clean documents): far commoner in toxic ones than chance allows, none that another makes needless."""
+def choose(counts: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Entries from (feature, toxic documents, clean documents): far commoner in toxic ones than chance allows, none that another makes needless.
+
+    Words, stems, and the words that a stem makes needless but for their misspellings.
+    """
     if not n1 or not n0:
-        return {}, {}
+        return {}, {}, {}
     base, bar = n1 / (n1 + n0), 2 * math.log(max(len(counts), 2)) + 2
     rated = []
     for f, a, b in counts:
@@ -198,17 +226,22 @@ def choose(counts: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[s
             rated.append((a, f[0] == "=", len(f), f, min(1.0, (math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))) / 4)))
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
+    covered: dict[str, float] = {}
     taken: Counter = Counter()  # of each beginning the documents that entries of more letters explain
     for a, whole, _, f, weight in sorted(rated, key=lambda x: (-x[0], not x[1], -x[2], x[3])):
         body = f[1:]
-        if len(words) + len(stems) >= ENTRIES or any(body[:k] in stems for k in range(1, len(body) + 1)):
+        if any(body[:k] in stems for k in range(1, len(body) + 1)):
+            if whole and len(covered) < ENTRIES:
+                covered[body] = weight
+            continue
+        if len(words) + len(stems) >= ENTRIES:
             continue
         if not whole and taken[body] >= 0.9 * a:
             continue
         (words if whole else stems)[body] = weight
         for k in range(1, len(body) + 1):
             taken[body[:k]] += a
-    return words, stems
+    return words, stems, covered
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
@@ -232,8 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 
     counted = map_batches(rows, counting, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     counted = counted.filter("a > 2 AND a >= b / 4")
-    words, stems = choose([tuple(r) for r in counted.collect()], sizes.get(1, 0), sizes.get(0, 0))
-    first = Model(words, stems)
+    words, stems, covered = choose([tuple(r) for r in counted.collect()], sizes.get(1, 0), sizes.get(0, 0))
+    first = Model(words, stems, covered=covered)
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def lookalikes():
@@ -246,8 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 
         return apply
 
-    ordinary = frozenset(r["w"] for r in map_batches(rows, lookalikes, "w string").distinct().collect()) if words else frozenset()
-    second = Model(words, stems, ordinary)
+    ordinary = frozenset(r["w"] for r in map_batches(rows, lookalikes, "w string").distinct().collect()) if words or covered else frozenset()
+    second = Model(words, stems, ordinary, covered=covered)
     again = docs.sparkSession.sparkContext.broadcast(second)
 
     def loading():
@@ -260,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     if not words and not stems or len(sizes) < 2:
         return second
     loads = np.repeat([p["load"] for p in points], [p["n"] for p in points])
-    return Model(words, stems, ordinary, fit_curve(loads, np.repeat([p["y"] for p in points], [p["n"] for p in points])))
+    return Model(words, stems, ordinary, fit_curve(loads, np.repeat([p["y"] for p in points], [p["n"] for p in points])), covered)
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

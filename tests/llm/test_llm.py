@@ -427,6 +427,29 @@ def test_context_and_misspelling():
     assert model.load("a réeuxment") == 1.0 and model.load("a m0ron") > 0
 
 
+def test_misspelling_of_words_under_a_learned_stem():
+    texts = [(1, f"you are stupid a{i}") for i in range(60)] + [(1, "stupid$$$ you")] * 5 + [(1, f"such a moron b{i}") for i in range(40)] + [(0, f"fine words c{i}") for i in range(200)]
+    counts = collections.Counter((f, y) for y, t in texts for f in T.features(t))
+    rows = [(f, counts[f, 1], counts[f, 0]) for f in sorted({f for f, _ in counts})]
+    found = T.choose(rows, 105, 200)
+    assert "stupi" in found[1] and "stupid" not in found[0]
+    model = T.Model(*found[:2], frozenset(), (3.0, -2.0), *found[2:])
+    for word in ("stuppid", "stupd", "atupid", "tupid", "sstupid", "noron", "mmoron"):
+        assert 0 < model.weight(word) < 1, word
+    assert not model.weight("tpid") and not model.weight("fine") and not model.weight("staple")
+
+
+def test_near_is_exhaustive():
+    rng = random.Random(13)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 11))): 0.5 for _ in range(60)}
+    trie = T.Trie(words, {}, {})
+    for _ in range(800):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(3, 11)))
+        best = min(((e, w) for w in words if (e := edits(word, w)) <= min(*((len(x) >= 5) + (len(x) >= 9) for x in (word, w))) and len(word) >= 5), default=None)
+        found = trie.near(word)
+        assert (found and found[1:]) == best
+
+
 def test_toxicity(spark, none, odd):
     rng, rows, labels = random.Random(12), [], []
     for i in range(600):
