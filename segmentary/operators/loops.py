@@ -50,7 +50,7 @@ def _without_loops(texts: pd.Series) -> pd.Series:
 
 def truncated(text: Column) -> Column:
     """Only texts of enough words go to Python; the rest stay as they are."""
-    long = F.length(F.regexp_replace(text, r"[^\s]+", "")) >= LEAST_WORDS - 1
+    long = F.length(F.regexp_replace(text, r"(?U)[^\s\x1c-\x1f]+", "")) >= LEAST_WORDS - 1
     return F.when(long, _without_loops(text)).otherwise(text)
 
 

@@ -243,6 +243,14 @@ def test_loops(spark):
     assert [r["text"] for r in truncate_loops(df).orderBy("k").collect()] == expected
 
 
+def test_loops_by_any_white_space(spark):
+    cases = [space.join([f"u{i}" for i in range(20)] + [f"w{i}" for i in range(20)] * 6) for space in ("\u3000", "\u00a0", "\u0085", "\x1c", "\x1d", "\x1e", "\x1f", "\u2003")]
+    expected = [slow_loop(c) for c in cases]
+    assert all(c != e for c, e in zip(cases, expected, strict=True))
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    assert [r["text"] for r in truncate_loops(df).orderBy("k").collect()] == expected
+
+
 def test_results(spark):
     df = segments(spark, [(1, 1, 1.0, 9.0, " b "), (1, 0, 0.0, 1.0, "a"), (1, 2, 2.0, 3.0, ""), (1, 3, 3.0, 4.0, None)])
     row, trimmed = results(df).first(), results(df, trim=True).first()
