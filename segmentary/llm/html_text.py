@@ -5,7 +5,9 @@ like, told by tag, role or class, are boilerplate from the start. The first pass
 block by its own link density, length and share of stop words: good, bad, or, where it is too short or
 too plain to tell, undecided. The second pass gives each undecided block the label that its nearest
 decided neighbours have; where they differ, the nearer one's, and of equally near ones good only if
-the block has stop words enough. Inside an <article> or <main> a block needs no stop words to be good.
+the block has stop words enough. Inside an <article> or <main> a block of SHORT characters needs no stop
+words to be good; and where such elements hold more text than all good blocks outside, everything
+outside is bad unseen.
 """
 
 from __future__ import annotations
@@ -175,9 +177,21 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def share_of_stop_words(text: str) -> float:
+    words = _words.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def holds_most(blocks: list[Block]) -> bool:
+    """Whether <article> and <main> hold more text than the blocks outside that are good by themselves."""
+    usable = [b for b in blocks if not b.boiler and b.linked <= LINKED * len(b.text)]
+    inside = sum(len(b.text) for b in usable if b.inside)
+    return inside > sum(len(b.text) for b in usable if not b.inside and len(b.text) > LONG and share_of_stop_words(b.text) >= STOP_HIGH)
+
+
 def classify(blocks: list[Block]) -> list[int]:
     """Both passes: GOOD or BAD for each block."""
-    whole = any(b.inside and not b.boiler for b in blocks)
+    whole = holds_most(blocks)
     labels, dense = [], []
     for b in blocks:
         n = len(b.text)
@@ -185,8 +199,7 @@ def classify(blocks: list[Block]) -> list[int]:
             labels.append(BAD)
             dense.append(False)
             continue
-        words = _words.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = share_of_stop_words(b.text)
         dense.append(stops >= STOP_LOW)
         if n < SHORT:
             labels.append(BAD if b.linked and not b.inside else OPEN)

@@ -272,6 +272,12 @@ def large_family(k, seed=3, n=200, every=4, share=0.14):
     return [(i + 1, " ".join(f"x{at}" if at % every == 0 and rng.random() < share else f"w{at}" for at in range(n))) for i in range(k)]
 
 
+def test_main_text_beside_a_teaser():
+    long = "This is the text of the page and it is in a div that has more of the words which you would read for all that is there. " * 3
+    page = f"<body><div>{long}</div><article><p>Read more on this.</p></article></body>"
+    assert long.strip() in H.main_text(page)
+
+
 def test_near_dedup_large_family(spark):
     rows = large_family(500)
     found = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()
