@@ -5,7 +5,8 @@ that hold 63 counters of 21 bits, each counting the pairs of neighbouring words
 certain bit. A document's fingerprint is the sum over its paragraphs, modulo 2**32 and 2**64. So the
 order of paragraphs doesn't matter, and paragraphs are added or removed by adding or subtracting their
 vectors. The SHA part decides equality; the counters, read as sums of signs, are a random projection
-of the word pairs, whose cosine is the likeness.
+of the word pairs, whose cosine is the likeness. Counters have no guard bits: in a document of 2**21
+word pairs or more one may carry into the next, and the likeness means nothing; equality still holds.
 """
 
 from __future__ import annotations
