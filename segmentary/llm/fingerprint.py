@@ -1,85 +1,95 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A paragraph is hashed to a wide vector: 16 words of 32 bits of its SHA-512, and 21 words of 64 bits
-that hold 63 counters of 21 bits, each counting the pairs of neighbouring words whose hash has a
-certain bit. A document's fingerprint is the sum over its paragraphs, modulo 2**32 and 2**64. So the
-order of paragraphs doesn't matter, and paragraphs are added or removed by adding or subtracting their
-vectors. The SHA part decides equality; the counters, read as sums of signs, are a random projection
-of the word pairs, whose cosine is the likeness. Counters have no guard bits: in a document of 2**21
-word pairs or more one may carry into the next, and the likeness means nothing; equality still holds.
+A paragraph (a line) is hashed to a wide vector of 96 lanes. 32 lanes are hashes of its SHA-512 under
+seeds of their own; the other 64 are a count sketch of its pairs of neighbouring words: each pair adds
+or subtracts one in a lane of its own hash. A document's fingerprint is the sum over its paragraphs,
+modulo 2**62 in the first lanes and 2**32 in the sketch. So the order of paragraphs doesn't matter, and
+paragraphs are added or removed by adding or subtracting their vectors. The first lanes (1984 bits)
+decide equality; the sketch, read as signed numbers, is a random projection of the word pairs, whose
+cosine is the likeness. A text has fewer than 2**31 bytes, so no lane of its sketch runs over.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WORDS32, WORDS64, LANES, WIDTH = 16, 21, 3, 21
-LANE = (1 << WIDTH) - 1
-MASK = sum(1 << (WIDTH * i) for i in range(LANES))
-LOW32 = (1 << 32) - 1
-#: Ranges of ids for each shuffle partition, so that uneven ones even out.
-RANGES = 8
+#: Lanes that decide equality, and lanes of the sketch.
+EXACT, SKETCH = 32, 64
+LOW62, LOW32 = (1 << 62) - 1, (1 << 32) - 1
+#: White space but the line feed, all taken for blanks.
+BLANKS = "\t\x0b\x0c\r"
+#: Tasks, and ranges of ids, for each shuffle partition, so that uneven ones even out.
+TASKS, RANGES = 4, 8
+
+
+def low(x: Column, mask: int) -> Column:
+    return x.bitwiseAND(F.lit(mask))
+
+
+def bound(value: Column, function) -> Column:
+    """``function`` of an array that is computed once, however often the function reads it."""
+    return F.flatten(F.transform(F.array(value), function))
+
+
+def exact_lanes(text: Column) -> Column:
+    """Sums of the lanes of the lines' digests, in one pass over the lines."""
+    digests = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 512))
+    return F.aggregate(digests, F.array_repeat(F.lit(0).cast("long"), EXACT), lambda acc, d: F.transform(acc, lambda x, i: low(x + low(F.xxhash64(i, d), LOW62), LOW62)))
 
 
-def word_pairs(paragraph: Column) -> Column:
-    """Hashes of the pairs of neighbouring words, the last word once more alone."""
-    hashes = F.transform(F.filter(F.split(paragraph, r"[\x20\x09-\x0d]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+def pair_codes(text: Column) -> Column:
+    """An odd number for each pair of neighbouring words of a line, the last word once more alone: 2 * (2 * lane + sign) + 1; past all lanes where no word is.
 
+    Pieces between blanks are the words, so two blanks in a row part a pair.
+    """
+
+    def of_line(line: Column) -> Column:
+        return bound(F.split(line, " "), lambda ws: F.transform(ws, lambda w, i: F.when(w == "", F.lit(4 * SKETCH + 1)).otherwise(F.xxhash64(w, F.get(ws, i + 1)).bitwiseAND(F.lit(4 * SKETCH - 1)).bitwiseOR(F.lit(1)).cast("int"))))
 
-def digest_sum(digests: Column, j: int) -> Column:
-    """Sum of the digests' words ``j``, modulo 2**32."""
-    return F.aggregate(digests, F.lit(0).cast("long"), lambda a, d: (a + F.conv(F.substring(d, 8 * j + 1, 8), 16, 10).cast("long")).bitwiseAND(F.lit(LOW32)))
+    return F.flatten(F.transform(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), "\n", -1), of_line))
 
 
-def bit_sum(pairs: Column, j: int) -> Column:
-    """How many hashes have bit ``j``, bit ``j`` + 21, bit ``j`` + 42: three counters in one long."""
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(MASK)))
+def sketch_lanes(text: Column) -> Column:
+    """Pairs of sign + less those of sign - for each lane: codes are sorted among marks, one for each code, and the marks' places tell the counts."""
+    marked = F.concat(pair_codes(text), F.sequence(F.lit(0), F.lit(4 * SKETCH), F.lit(2)))
+    places = F.filter(F.transform(F.sort_array(marked), lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 0, i)), lambda i: i.isNotNull())
+    return bound(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda j: low((2 * F.get(p, 2 * j + 1) - F.get(p, 2 * j) - F.get(p, 2 * j + 2)).cast("long"), LOW32)))
 
 
 def vector_of(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the fingerprint of the string column ``text`` as 37 longs."""
-    lines, digests, pairs = f"{out}_lines", f"{out}_digests", f"{out}_pairs"
-    df = df.withColumn(lines, F.split(text, "\n"))
-    df = df.withColumns({digests: F.transform(lines, lambda p: F.sha2(p, 512)), pairs: F.flatten(F.transform(lines, word_pairs))})
-    exact = [digest_sum(F.col(digests), j) for j in range(WORDS32)]
-    rough = [bit_sum(F.col(pairs), j) for j in range(WORDS64)]
-    count = F.size(pairs).cast("long")
-    return df.withColumn(out, F.array(*exact, *rough, count)).drop(lines, digests, pairs)
+    """Add ``out``: the fingerprint of the string column ``text`` as 96 longs."""
+    return df.withColumn(out, F.concat(exact_lanes(F.col(text)), sketch_lanes(F.col(text))))
 
 
 def added(a: Column, b: Column, sign: int = 1) -> Column:
     """Vector of both multisets of paragraphs together, or with ``sign`` -1 of the first without the second."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x + sign * y), lambda x, i: F.when(i < WORDS32, x.bitwiseAND(F.lit(LOW32))).otherwise(x))
+    return F.transform(F.zip_with(a, b, lambda x, y: x + sign * y), lambda x, i: F.when(i < EXACT, low(x, LOW62)).otherwise(low(x, LOW32)))
 
 
 def text_of(vector: Column) -> Column:
     """The fingerprint as a hexadecimal string."""
-    return F.lower(F.array_join(F.transform(vector, lambda x, i: F.when(i < WORDS32, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 16, "0"))), ""))
-
-
-def lane(longs: Column, k: int) -> Column:
-    return F.transform(longs, lambda x: F.shiftrightunsigned(x, WIDTH * k).bitwiseAND(F.lit(LANE)))
+    return F.lower(F.array_join(F.transform(vector, lambda x, i: F.lpad(F.hex(x), F.when(i < EXACT, 16).otherwise(8), F.lit("0"))), ""))
 
 
-def signs(vector: Column) -> Column:
-    """The 63 sums of signs."""
-    lanes = [lane(F.slice(vector, WORDS32 + 1, WORDS64), k) for k in range(LANES)]
-    n = F.element_at(vector, WORDS32 + WORDS64 + 1)
-    return F.transform(F.flatten(F.array(*lanes)), lambda c: (2 * c - n).cast("double"))
+def signed(vector: Column) -> Column:
+    """The lanes of the sketch as signed numbers."""
+    return F.transform(F.slice(vector, EXACT + 1, SKETCH), lambda x: F.when(x > LOW32 // 2, x - (LOW32 + 1)).otherwise(x).cast("double"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1, and 1 for equal fingerprints: the cosine of the sketches, no less than 0; 0 where one sketch is all zero."""
 
+    def sums(pairs: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy"))
+        add = lambda s, p: F.struct((s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"), (s["xy"] + p["x"] * p["y"]).alias("xy"))
+        cosine = lambda s: F.when((s["xx"] == 0) | (s["yy"] == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s["xy"] / F.sqrt(s["xx"] * s["yy"]))))
+        return F.aggregate(pairs, start, add, cosine)
 
-def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1, and 1 for equal fingerprints: the cosine of the sums of signs, no less than 0."""
-    x, y = signs(a), signs(b)
-    size = F.sqrt(dot(x, x) * dot(y, y))
-    return F.when(a == b, 1.0).when(size == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(x, y) / size)))
+    return F.when(a == b, 1.0).otherwise(sums(F.zip_with(signed(a), signed(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -87,50 +97,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return vector_of(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "v").select("doc_id", text_of(F.col("v")).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, ranges: int) -> DataFrame:
-    """Give each row of (doc_id, text, v) the text and v of the next row by descending doc_id, the last one those of the first.
+def dealt(rows: DataFrame, ranges: int) -> DataFrame:
+    """Deal ``rows`` (id, tie, text) over ranges of (id, tie), so that each row's next one by descending order is in its own range.
 
-    Ids are cut into ranges at some of their own values, so the highest id of a range is known: its
-    row is dealt to the range above as well, where it comes after all others, and that of the highest
-    id of all to the lowest range. Thus no row needs more than its own range, and only the cuts, at most
-    ``ranges`` of them, reach the driver. Rows of one id are ordered by their text; a null id is the lowest.
+    Adds ``range`` and ``guest``. Ranges are cut at some of the rows' own keys, so the highest key of a
+    range is known: its row is dealt to the range above as well, as a guest that comes after all others,
+    and that of the highest key of all to the lowest range. Cuts come from about 64 rows a range, picked
+    by a hash of the key; only they reach the driver. ``tie`` is a hash of the text: so rows that share
+    an id, or have none, are spread, too, unless their texts are equal as well.
     """
-    lowest = -(1 << 63)
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(lowest)))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx("id", shares or [0.5], 100 * ranges).alias("cuts"), F.max("id").alias("top")).first()
-    if found["top"] is None:
-        cuts = [0]
-    else:
-        cuts = sorted({*(found["cuts"] if shares else ()), found["top"]})
+    keys = rows.select("id", "tie")
+    picked = keys.orderBy(F.xxhash64("id", "tie"), "id", "tie").limit(64 * ranges).collect()
+    found = sorted({(r["id"], r["tie"]) for r in picked})
+    top = keys.agg(F.max(F.struct("id", "tie")).alias("top")).first()["top"]
+    cuts = sorted({found[i * len(found) // ranges] for i in range(1, ranges)} | {(top["id"], top["tie"])}) if found else [(0, 0)]
     step = int(len(cuts) ** 0.5) + 1
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads, table = F.array(*[F.lit(g[-1]) for g in groups]), F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    group = F.size(F.filter(heads, lambda c: c < F.col("id")))
-    own = (group * step + F.size(F.filter(F.element_at(table, F.least(group + 1, F.lit(len(groups)))), lambda c: c < F.col("id")))).cast("int")
-    above = F.when(F.col("id").isin(cuts), F.when(own + 1 == len(cuts), 0).otherwise(own + 1))
-    dealt = rows.withColumn("place", F.explode(F.filter(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(above.alias("range"), F.lit(True).alias("guest"))), lambda p: p["range"].isNotNull())))
-    order = Window.partitionBy("place.range").orderBy("place.guest", F.col("id").desc(), F.col("text").desc())
-    return dealt.withColumns({"next_text": F.lead("text").over(order), "next_v": F.lead("v").over(order)}).filter("NOT place.guest").drop("place", "id")
+    # as text, one literal of the plan however many they are
+    as_json = lambda gs: json.dumps([[{"id": i, "tie": t} for i, t in g] for g in gs])
+    table = F.from_json(F.lit(as_json(groups)), "array<array<struct<id: long, tie: long>>>")
+    heads = F.flatten(F.from_json(F.lit(as_json([[g[-1]] for g in groups])), "array<array<struct<id: long, tie: long>>>"))
+    below = lambda c: (c["id"] < F.col("id")) | ((c["id"] == F.col("id")) & (c["tie"] < F.col("tie")))
+    rows = rows.withColumn("group", F.size(F.filter(heads, below)))
+    rows = rows.withColumn("near", F.element_at(table, F.least(F.col("group") + 1, F.lit(len(groups)))))
+    own = (F.col("group") * step + F.size(F.filter("near", below))).cast("int")
+    is_cut = F.exists("near", lambda c: (c["id"] == F.col("id")) & (c["tie"] == F.col("tie")))
+    rows = rows.withColumns({"own": own, "is_cut": is_cut}).drop("group", "near")
+    above = F.when(F.col("is_cut"), F.when(F.col("own") + 1 == len(cuts), 0).otherwise(F.col("own") + 1))
+    places = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(above.alias("range"), F.lit(True).alias("guest")))
+    return rows.withColumn("place", F.explode(F.filter(places, lambda p: p["range"].isNotNull()))).select("id", "tie", "text", "doc_id", "place.*")
 
 
 def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     The edited text has its last half (rounded down) replaced by the beginning of the next document's
-    text, by descending doc_id, of the same length or all of it. A null text counts as empty; a single
+    text, by descending doc_id, of the same length or all of it. Rows of one id follow each other by a
+    hash of their texts, then the texts; a null id is the lowest. A null text counts as empty; a single
     row is its own next; an empty table gives no rows; further columns are ignored.
+
+    Texts are shuffled once, by ranges. All that follows stays in the range's partition: texts are
+    hashed there, behind the shuffle, so that the work is spread even where the table is one row group.
     """
     spark = docs.sparkSession
     ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vector_of(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "v")
-    near = with_next(rows, ranges)
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("guest", F.col("id").desc(), F.col("tie").desc(), F.col("text").desc())
+    near = dealt(rows, ranges).repartition(TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")), "range").select("doc_id", "range", "guest", "text", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("at"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = near.select("doc_id", "v", "next_v", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    both = vector_of(edited, "edited", "w")
+    near = near.select("doc_id", "range", "guest", "at", "text", n.cast("long").alias("n_chars"), F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))).alias("edited"))
+    near = near.withColumn("edited_sha256", F.sha2("edited", 256))
+    both = vector_of(vector_of(near, "text", "v"), "edited", "w").drop("text", "edited")
+    both = both.withColumn("next_v", F.lead("v").over(Window.partitionBy("range").orderBy("at"))).filter("NOT guest")
     v, w = F.col("v"), F.col("w")
-    return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(v).alias("fingerprint"), text_of(w).alias("edited_fingerprint"),
-        likeness(v, w).alias("near_edited"), likeness(v, F.col("next_v")).alias("near_next"),
-    )
+    return both.select("doc_id", "n_chars", "edited_sha256", text_of(v).alias("fingerprint"), text_of(w).alias("edited_fingerprint"), likeness(v, w).alias("near_edited"), likeness(v, F.col("next_v")).alias("near_next"))
