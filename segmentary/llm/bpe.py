@@ -14,6 +14,7 @@ import base64
 import contextlib
 import gc
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -23,6 +24,10 @@ from ._common import map_batches, texts_of
 
 #: Entries after which a worker's memo of words and table of states start anew.
 MEMO, STATES = 1 << 19, 1 << 18
+#: Longer matches of the pattern are not kept in the memo, so it is bounded in bytes, too.
+LONGEST = 256
+#: Ids that are decoded at a time.
+STEP = 1 << 12
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -168,46 +173,45 @@ class Transducer:
         return out
 
 
+#: Lead bytes to (continuation bytes, lowest and highest first one).
+LEADS = (
+    {b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}
+    | {b: (2, 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF) for b in range(0xE0, 0xF0)}
+    | {b: (3, 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF) for b in range(0xF0, 0xF5)}
+)
+
+
 class Utf8Stream:
-    """Text out of bytes that arrive in any pieces: a state machine over lead and continuation bytes.
+    """Text out of bytes that arrive in any pieces.
 
-    Bytes that can't continue a character give one U+FFFD for each maximal ill-formed part.
+    A state machine over lead and continuation bytes, whose state is the character begun: at most three
+    bytes that may still become one. Whole characters leave at once. Bytes that can't continue a
+    character give one U+FFFD for each maximal ill-formed part.
     """
 
     def __init__(self) -> None:
-        self.need, self.low, self.high, self.point = 0, 0x80, 0xBF, 0
+        self.begun = b""
+
+    @staticmethod
+    def state_after(data: bytes) -> int:
+        """How many bytes at the end of ``data`` are a character begun. A lead byte starts anew in any state, so the last one tells."""
+        for k in range(1, min(3, len(data)) + 1):
+            b = data[-k]
+            if 0x80 <= b <= 0xBF:
+                continue
+            need, low, high = LEADS.get(b, (0, 0, 0))
+            return k if need >= k and (k == 1 or low <= data[1 - k] <= high) else 0
+        return 0
 
     def feed(self, data: bytes) -> str:
-        out: list[str] = []
-        for b in data:
-            while True:
-                if self.need:
-                    if self.low <= b <= self.high:
-                        self.point, self.need, self.low, self.high = self.point << 6 | b & 0x3F, self.need - 1, 0x80, 0xBF
-                        if not self.need:
-                            out.append(chr(self.point))
-                        break
-                    out.append("�")
-                    self.need, self.low, self.high = 0, 0x80, 0xBF
-                    continue
-                if b < 0x80:
-                    out.append(chr(b))
-                elif 0xC2 <= b <= 0xDF:
-                    self.need, self.point = 1, b & 0x1F
-                elif 0xE0 <= b <= 0xEF:
-                    self.need, self.point = 2, b & 0x0F
-                    self.low, self.high = 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF
-                elif 0xF0 <= b <= 0xF4:
-                    self.need, self.point = 3, b & 0x07
-                    self.low, self.high = 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF
-                else:
-                    out.append("�")
-                break
-        return "".join(out)
+        data = self.begun + data if self.begun else data
+        end = len(data) - self.state_after(data)
+        self.begun = data[end:]
+        return data[:end].decode("utf-8", "replace")
 
     def close(self) -> str:
-        left, self.need, self.low, self.high = self.need, 0, 0x80, 0xBF
-        return "�" if left else ""
+        left, self.begun = self.begun, b""
+        return left.decode("utf-8", "replace")
 
 
 class Encoder(dict):
@@ -225,18 +229,28 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        out = self[word] = np.array(self.machine.encode(word.encode()), "<u4").tobytes()
+        out = np.array(self.machine.encode(word.encode()), "<u4").tobytes()
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
+        """The bytes of all ids, ill-formed or not."""
         ids = np.frombuffer(ids, "<u4")
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)].tobytes()
 
+    def stream(self, ids: bytes, step: int = STEP) -> Iterator[str]:
+        """The text of ``ids`` in pieces, as it leaves the incremental UTF-8 machine after every ``step`` ids."""
+        machine = Utf8Stream()
+        for at in range(0, len(ids), 4 * step):
+            yield machine.feed(self.decode(ids[at : at + 4 * step]))
+        yield machine.close()
+
 
 def vocabulary(spark: SparkSession, path: str):
     """The ranks of a vocabulary file of the driver, sent to each executor once (a file of fixed size, about 1 MB)."""
@@ -272,6 +286,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
     """Encode each whole text and decode it again: doc_id and the columns named in ``keep``, of
 
     ids (binary, little-endian unsigned 32-bit), n_tokens, ids_sha256, decoded (binary), decoded_sha256.
+    Decoding goes through the incremental UTF-8 machine; the ids of a text being well-formed together,
+    its text in UTF-8 is the bytes of the ids.
 
     Null text counts as empty: no ids, hashes of nothing. Each row is treated by itself, so repeated
     rows and ids give repeated results, and an empty table an empty one. Further columns are ignored.
@@ -287,7 +303,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
             with no_collection():
                 for text in texts_of(batch):
                     ids = encoder.ids(text)
-                    decoded = encoder.decode(ids)
+                    decoded = "".join(encoder.stream(ids)).encode()
                     row = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest(), "ids": ids, "decoded": decoded}
                     for k in keep:
                         out[k].append(row[k])
@@ -298,19 +314,15 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
     return map_batches(docs.select("doc_id", "text"), start, "doc_id long, " + ", ".join(f"{k} {kinds[k]}" for k in keep))
 
 
-def decode_tokens(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) to doc_id, text: ids are fed one by one to the incremental UTF-8 machine. Null ids give an empty text."""
+def decode_tokens(encoded: DataFrame, path: str, step: int = STEP) -> DataFrame:
+    """``encoded`` (doc_id, ids) to doc_id, text: ids are fed ``step`` at a time to the incremental UTF-8 machine. Null ids give an empty text."""
     data = vocabulary(encoded.sparkSession, path)
 
     def start():
-        table = {v: k for k, v in read_ranks(data.value).items()}
+        encoder = Encoder(read_ranks(data.value), "")
 
         def apply(batch):
-            out = []
-            for ids in batch.column(1).to_pylist():
-                stream = Utf8Stream()
-                out.append("".join([*(stream.feed(table[i]) for i in np.frombuffer(ids or b"", "<u4").tolist()), stream.close()]))
-            return {"doc_id": batch.column(0), "text": out}
+            return {"doc_id": batch.column(0), "text": ["".join(encoder.stream(ids or b"", step)) for ids in batch.column(1).to_pylist()]}
 
         return apply
 
