@@ -3,13 +3,15 @@
 Documents are tokenised once and cut into pieces. Pieces are dealt over buckets of bounded size; each
 bucket is packed by best-fit decreasing, and dual feasible functions give a lower bound on the bins
 that its pieces need. A bucket whose count meets its bound is certified. The others keep their full
-bins and hand the documents of the rest to the next round, where they meet those of other buckets in
+(or all but full) bins and hand the documents of the rest to the next round, where they meet those of other buckets in
 fewer, mixed buckets and are packed again. A round that does not lower the count is thrown away.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from ._common import map_batches, materialize, texts_of
 from .bpe import read_ranks, vocabulary
 
 CAPACITY = 1024
+#: Bins whose gap is no more than this share of the capacity stay as they are.
+GAP = 64
 #: Pieces that one bucket holds, about.
 BUCKET = 20_000
 ROUNDS = 3
@@ -33,23 +37,31 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def special_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizers file reads as one id each, wherever they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
+def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of each document's ids and the closing id: doc_id, piece, start, length, ids_crc32 (and ids).
 
-    The ranks are those of the tokenizers file of the same name, whose ids they reproduce, each
-    special string of a text being ordinary text. A null or empty text is one piece of one id.
+    ``path`` has the ranks of a vocabulary, ``special`` the strings that are one id each. With both from
+    one tokenizers file the ids are those of its plain call without added special tokens. A null or
+    empty text is one piece of one id.
     """
-    data = vocabulary(docs.sparkSession, path)
+    data, special = vocabulary(docs.sparkSession, path), dict(special or {})
 
     def start():
         import tiktoken
 
-        coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(data.value), special_tokens={})
+        coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(data.value), special_tokens=special)
+        ids_of = partial(coder.encode, allowed_special="all", disallowed_special=()) if special else coder.encode_ordinary
 
         def apply(batch):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []))}
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                ids = np.array([*coder.encode_ordinary(text), END], "<u4")
+                ids = np.array([*ids_of(text), END], "<u4")
                 for k, (at, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[at : at + n]
                     row = (doc, k, at, n, zlib.crc32(part.tobytes()), *([part.astype("<i4").tolist()] if with_ids else []))
@@ -108,7 +120,7 @@ def _packer(capacity: int, round_no: int):
         certified = len(fill) == lower_bound(frame["length"].to_numpy(), capacity)
         bucket = int(key[0].as_py())
         out = frame[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(
-            sequence_id=(round_no << 56) + (bucket << 28) + bins, offset=offsets, settled=certified | (fill[bins] == capacity)
+            sequence_id=(round_no << 56) + (bucket << 28) + bins, offset=offsets, settled=certified | (fill[bins] >= capacity - capacity // GAP)
         )
         out["doc_id"] = out["doc_id"].astype(pd.Int64Dtype())
         return pa.Table.from_pandas(out, preserve_index=False)
@@ -122,13 +134,14 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """Place ``pieces`` (doc_id, piece, start, length, ids_crc32; all lengths from 1 to ``capacity``) into sequences.
 
-    Adds sequence_id and offset. Each round is written to the shared folder, so a lost executor costs
+    Adds sequence_id and offset. Pieces are dealt by a hash that takes in their place in the written table,
+    too, so that equal rows are spread, and a repeated task deals them as before. Each round is written to the shared folder, so a lost executor costs
     its own tasks only, and a sequence's members are fixed once written.
     """
-    todo, done, n, before = pieces, [], pieces.count(), None
+    todo, done, n, before = pieces, [], pieces.count(), None  # ``pieces`` is a written table, whose tasks read the same rows again
     for k in range(rounds):
         buckets = max(1, -(-n // bucket))
-        dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(buckets)).alias("bucket"))
+        dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k), F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket"))
         packed = materialize(dealt.groupBy("bucket").applyInArrow(_packer(capacity, k), PACKED))
         bins = packed.agg(F.sum((F.col("offset") == 0).cast("long")).alias("all"), F.sum(((F.col("offset") == 0) & ~F.col("settled")).cast("long")).alias("open"), F.sum((~F.col("settled")).cast("long")).alias("n")).first()
         if before is not None and (bins["all"] or 0) >= before[1]:
@@ -145,12 +158,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKE
     return out.drop("settled")
 
 
-def best_fit_packing(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, special: dict[str, int] | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents over ``capacity`` ids are cut. A null or empty text still takes its closing id. Rows
     are packed each by itself, so repeated rows are packed repeatedly; an empty table gives no rows.
     Further columns are ignored.
     """
-    return pack_pieces(materialize(token_pieces(docs, path, pattern, capacity)), capacity)
+    return pack_pieces(materialize(token_pieces(docs, path, pattern, capacity, special=special)), capacity)
 

@@ -14,7 +14,7 @@ from .fingerprint import fingerprint_edits
 from .html_text import extract
 from .language_id import language_id
 from .minhash import near_dedup
-from .packing import best_fit_packing
+from .packing import best_fit_packing, special_tokens
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filter import url_filter
@@ -22,6 +22,7 @@ from .url_filter import url_filter
 PATTERN = public_tokenizers.PATTERN
 #: Places of vocabularies, given to the operators as parameters.
 RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPECIAL_50K = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 RANKS_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -38,7 +39,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN)
+    return best_fit_packing(table(spark, sf_dir, "documents"), RANKS_50K, PATTERN, special=SPECIAL_50K)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

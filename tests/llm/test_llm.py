@@ -22,7 +22,7 @@ from segmentary.llm import toxicity as T
 from segmentary.llm import url_filter as U
 from segmentary.llm.bpe import Encoder, Transducer, Utf8Stream, bpe_round_trip, decode_tokens, merge_bytes, read_ranks
 from segmentary.llm.components import components
-from segmentary.llm.queries import PATTERN, RANKS_50K, RANKS_MULTI, RULES
+from segmentary.llm.queries import PATTERN, RANKS_50K, RANKS_MULTI, RULES, SPECIAL_50K
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id long, digest string, n int, v string, score double"
 ODD = [
@@ -36,6 +36,7 @@ ODD = [
     (8, "123 456 !!!", "en", "s"),
     (8, "123 456 !!!", "en", "s"),
     (9, "one", "en", "s"),
+    (10, "<|endoftext|><|endoftext|>x <|endoftext|>\n<|endoftext|> 1", "en", "s"),
     (None, "no id", "en", "s"),
 ]
 
@@ -135,7 +136,8 @@ def test_bpe_round_trip(spark, odd, none):
         assert bytes(found[i]["ids"]) == ids and found[i]["n_tokens"] == len(ids) // 4
         assert found[i]["ids_sha256"] == hashlib.sha256(ids).hexdigest()
         assert found[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
-    assert {r["doc_id"]: r["text"] for r in decode_tokens(encoded, RANKS_MULTI).collect()} == {i: t or "" for i, t, *_ in ODD}
+    for step in (1, 3, 4096):
+        assert {r["doc_id"]: r["text"] for r in decode_tokens(encoded, RANKS_MULTI, step).collect()} == {i: t or "" for i, t, *_ in ODD}
     assert bpe_round_trip(none, RANKS_MULTI, PATTERN).count() == 0
 
 
@@ -153,15 +155,17 @@ def test_utf8_stream():
         data = bytes(rng.choice([0x41, 0x80, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0xED, 0xA0, 0xFF]) for _ in range(rng.randint(0, 12)))
         stream, cut = Utf8Stream(), rng.randint(0, 12)
         assert stream.feed(data[:cut]) + stream.feed(data[cut:]) + stream.close() == data.decode("utf-8", "replace")
+        stream = Utf8Stream()
+        assert "".join([*(stream.feed(data[i : i + 1]) for i in range(len(data))), stream.close()]) == data.decode("utf-8", "replace")
 
 
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
+    assert coder.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
     found = collections.defaultdict(list)
-    rows = K.best_fit_packing(odd, RANKS_50K, PATTERN).collect()
+    rows = K.best_fit_packing(odd, RANKS_50K, PATTERN, special=SPECIAL_50K).collect()
     for r in rows:
         found[r["doc_id"]].append(r)
     for i, text, *_ in ODD:
@@ -176,7 +180,7 @@ def test_packing(spark, odd, none):
             at += r["length"]
         assert at == len(ids)
     check_sequences(rows)
-    assert K.best_fit_packing(none, RANKS_50K, PATTERN).count() == 0
+    assert K.best_fit_packing(none, RANKS_50K, PATTERN, special=SPECIAL_50K).count() == 0
 
 
 def check_sequences(rows):
