@@ -11,7 +11,7 @@ from segmentary.llm._common import materialize, table
 from segmentary.llm.exact_dedup import keep_one
 from segmentary.llm.minhash import BROADCAST_ROWS, near_dedup
 from segmentary.llm.packing import best_fit_packing
-from segmentary.llm.queries import PATTERN, RANKS_50K
+from segmentary.llm.queries import PATTERN, RANKS_50K, SPECIAL_50K
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens."""
-    return best_fit_packing(docs, RANKS_50K, PATTERN)
+    return best_fit_packing(docs, RANKS_50K, PATTERN, special=SPECIAL_50K)
 
 
 STAGES = [
