@@ -6,6 +6,9 @@ a misspelled word, which the automaton of the word accepts in its intersection w
 holds for whole words under a stem, too, and for any letter of a word of ``FUZZY`` letters. Each hit
 counts by how it is used: within quotation marks or beside a word of reporting it weighs less than
 when it addresses somebody. A logistic curve fitted on the same labelled sample makes that a score.
+
+Near copies of one text are no independent evidence: a family of them would lend all its words to the
+lexicon. So of the sample's texts that share a label and a minhash only one is learned from.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_bucket, keep_rows, map_batches, materialize, sampled, texts_of
+from .minhash import Shingler, minhashes
 
 #: Labelled documents that the classifier is fitted on, about: of label 1 and of label 0.
 SAMPLE = {1: 2000, 0: 4000}
@@ -28,6 +32,8 @@ ENTRIES = 2000
 STEMS, FUZZY = range(4, 9), (5, 9)
 WINDOW = 60
 QUOTED, REPORTED, ADDRESSED, MISSPELLED = 0.35, 0.6, 1.25, 0.5
+#: Share of a stem's toxic documents that a word under it must have for its misspellings to count.
+COVER = 0.1
 MEMO = 1 << 17
 
 _words = re.compile(r"[\w@$]+")
@@ -96,11 +102,25 @@ class Trie:
                 node = node.setdefault(c, {})
             node["~w"] = (word, max(weight, known))
         self.entries = [w for w in {**words, **(covered or {})} if allowed(w)]
-        self.shapes: set[str] | None = None
+        self.shapes: tuple[set[str], set[str], set[str]] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"shapes": None}
 
+    def worth_it(self, word: str, k: int) -> bool:
+        """Whether an entry may be near: one edit leaves words equal but for a letter each, and of three parts of an entry two edits leave one."""
+        if self.shapes is None:
+            once, twice = ([w for w in self.entries if allowed(w) >= e] for e in (1, 2))
+            parts = {w[i * len(w) // 3 : (i + 1) * len(w) // 3] for w in twice for i in range(3)}
+            self.shapes = {x for w in once for x in shortened(w, 1)}, parts, {x for w in twice for x in shortened(w, 2)}
+        once, parts, twice = self.shapes
+        if not once.isdisjoint(shortened(word, 1)):
+            return True
+        if k < 2 or not parts:
+            return False
+        sizes = {len(x) for x in parts}
+        return not parts.isdisjoint({word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}) and not twice.isdisjoint(shortened(word, 2))
+
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
         for c in word:
@@ -113,10 +133,8 @@ class Trie:
 
     def near(self, word: str) -> tuple[float, int, str] | None:
         """Weight, edits and entry of the best entry that the automaton of ``word`` accepts."""
-        if self.shapes is None:
-            self.shapes = {x for w in self.entries for x in shortened(w, allowed(w))}
         k = allowed(word)
-        if not k or self.shapes.isdisjoint(shortened(word, k)):
+        if not k or not self.worth_it(word, k):
             return None
         machine, best = LevenshteinAutomaton(word, k), None
         todo = [(self.root, machine.start())]
@@ -209,29 +227,36 @@ def features(text: str) -> set[str]:
     return {"=" + w for w in words if len(w) > 2} | {"*" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
-def choose(counts: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
-    """Entries from (feature, toxic documents, clean documents): far commoner in toxic ones than chance allows, none that another makes needless.
+def evidence(a: int, b: int, base: float) -> float:
+    """Twice the log-likelihood ratio of a feature in ``a`` toxic and ``b`` clean documents against their share ``base``."""
+    p = a / (a + b)
+    return 2 * (a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0))
+
 
-    Words, stems, and the words that a stem makes needless but for their misspellings.
+def choose(counts: list[tuple[str, int, int]], n1: int, n0: int, tried: int | None = None) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Entries from (feature, toxic documents, clean documents), those of most evidence first.
+
+    They are far commoner in toxic documents than chance allows among ``tried`` features, and none is
+    one that another makes needless. Words, stems, and of the words that a stem makes needless those
+    whose misspellings still count.
     """
     if not n1 or not n0:
         return {}, {}, {}
-    base, bar = n1 / (n1 + n0), 2 * math.log(max(len(counts), 2)) + 2
+    base, bar = n1 / (n1 + n0), 2 * math.log(max(tried or len(counts), 2)) + 2
     rated = []
     for f, a, b in counts:
-        if b / n0 > 0.1 * a / n1:
-            continue
-        p = a / (a + b)
-        if 2 * (a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0)) >= bar:
-            rated.append((a, f[0] == "=", len(f), f, min(1.0, (math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))) / 4)))
+        if b / n0 <= 0.1 * a / n1 and (found := evidence(a, b, base)) >= bar:
+            rated.append((found, f[0] == "=", len(f), f, a, min(1.0, (math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))) / 4)))
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     covered: dict[str, float] = {}
+    seen: dict[str, int] = {}  # toxic documents of each stem taken
     taken: Counter = Counter()  # of each beginning the documents that entries of more letters explain
-    for a, whole, _, f, weight in sorted(rated, key=lambda x: (-x[0], not x[1], -x[2], x[3])):
+    for _, whole, _, f, a, weight in sorted(rated, key=lambda x: (-x[0], not x[1], -x[2], x[3])):
         body = f[1:]
-        if any(body[:k] in stems for k in range(1, len(body) + 1)):
-            if whole and len(covered) < ENTRIES:
+        under = next((body[:k] for k in range(1, len(body) + 1) if body[:k] in stems), None)
+        if under is not None:
+            if whole and a >= COVER * seen[under]:
                 covered[body] = weight
             continue
         if len(words) + len(stems) >= ENTRIES:
@@ -239,20 +264,42 @@ def choose(counts: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[s
         if not whole and taken[body] >= 0.9 * a:
             continue
         (words if whole else stems)[body] = weight
+        if not whole:
+            seen[body] = a
         for k in range(1, len(body) + 1):
             taken[body[:k]] += a
     return words, stems, covered
 
 
+def independent(rows: DataFrame) -> DataFrame:
+    """Of the texts (y, text) of one label that share the first or then the second of two minhashes of their word triples, one."""
+
+    def start():
+        shingler = Shingler(3)
+
+        def apply(batch):
+            keys = [minhashes(shingler.of(t), 2).view(np.int64).tolist() for t in texts_of(batch)]
+            return {"y": batch.column(0), "text": batch.column(1), "a": [a for a, _ in keys], "b": [b for _, b in keys]}
+
+        return apply
+
+    out = map_batches(rows, start, "y int, text string, a long, b long")
+    for key in ("a", "b"):
+        out = out.groupBy("y", key).agg(F.min_by(F.struct("text", "b"), F.struct(F.xxhash64("text"), "text")).alias("m")).select("y", "m.*")
+    return out.select("y", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
     """Fit on labelled documents whose crc32 is not 0 modulo 5, about ``sample`` of each label.
 
     Without toxic and clean labels the lexicon is empty and every score under a half.
     """
-    usable = labels.select("doc_id", F.col("toxic").alias("y")).filter(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = sampled(usable, "doc_id", "y", sample)  # bounded by ``sample``, so it may be broadcast
-    rows = materialize(docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "y"]).select("y", "text"))
+    rows = materialize(docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("y", "text"))
+    rows = materialize(independent(rows))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
 
     def counting():
         def apply(batch):
@@ -264,8 +311,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         return apply
 
     counted = map_batches(rows, counting, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    counted = counted.filter("a > 2 AND a >= b / 4")
-    words, stems, covered = choose([tuple(r) for r in counted.collect()], sizes.get(1, 0), sizes.get(0, 0))
+    counted = materialize(counted.filter("a > 2"))
+    tried = counted.count()
+    # those far from the bounds of ``choose`` stay on the executors
+    rated = [tuple(r) for r in counted.filter((F.col("b") * n1 <= 0.11 * F.col("a") * n0) & (F.col("a") * 2 * math.log((n1 + n0) / n1) >= 2 * math.log(max(tried, 2)))).collect()] if n1 and n0 else []
+    words, stems, covered = choose(rated, n1, n0, tried)
     first = Model(words, stems, covered=covered)
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
@@ -281,6 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 
     ordinary = frozenset(r["w"] for r in map_batches(rows, lookalikes, "w string").distinct().collect()) if words or covered else frozenset()
     second = Model(words, stems, ordinary, covered=covered)
+    if (not words and not stems) or not n1 or not n0:
+        return second
     again = docs.sparkSession.sparkContext.broadcast(second)
 
     def loading():
@@ -290,8 +342,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         return apply
 
     points = map_batches(rows, loading, "y int, load double").groupBy("y", F.round("load", 3).alias("load")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not words and not stems or len(sizes) < 2:
-        return second
     loads = np.repeat([p["load"] for p in points], [p["n"] for p in points])
     return Model(words, stems, ordinary, fit_curve(loads, np.repeat([p["y"] for p in points], [p["n"] for p in points])), covered)
 
