@@ -7,7 +7,12 @@ too plain to tell, undecided. The second pass gives each undecided block the lab
 decided neighbours have; where they differ, the nearer one's, and of equally near ones good only if
 the block has stop words enough. Inside an <article> or <main> a block of SHORT characters needs no stop
 words to be good; and where such elements hold more text than all good blocks outside, everything
-outside is bad unseen.
+outside is bad unseen. A paragraph of links inside is undecided, a list item of links bad.
+
+Class and id names only count as a whole (``sidebar``, ``cookie-notice``, ``main-nav``, but not
+``with-sidebar``), and as hints: where nothing is left of a page, they are set aside and the rules decide
+alone. Where hardly a word of a page is a stop word, its language has no list here: then sentence marks
+take their place.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from ._common import map_batches, texts_of
 
 #: Block rules: characters of a short and of a long block, shares of linked characters and of stop words.
 SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.5, 0.20, 0.30
+#: Share of stop words of a whole page below which its language is taken for an unknown one.
+UNKNOWN = 0.05
 
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be been but by can do for from had has have he her his how i if in into is it its
@@ -47,6 +54,9 @@ HINTS = frozenset(
     masthead pagination pager paging promo promoted promotion related recommended recommendations share sharing social sponsor sponsored toolbar skip""".split()
 )
 OUTSIDE_HINTS = frozenset(["header", "topbar", "head"])
+#: Parts of a name that turn it into a statement on the layout, and those that only say what holds the thing named first.
+LAYOUT = frozenset("with without no not non has have is in hide show open full wide left right".split())
+HOLDERS = frozenset("area bar block box container content group holder inner item items links list module outer panel region row section slot unit wrap wrapper zone".split())
 
 _token = re.compile(
     r"""<!--(?:.*?--!?>|[^>]*+>|.*)|<[!?][^>]*+(?:>|$)"""
@@ -57,52 +67,63 @@ _token = re.compile(
 _attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _parts = re.compile(r"[a-z0-9]+")
 _words = re.compile(r"[^\W\d_]+")
+_sentence = re.compile(r"[.!?…。！？।؟]")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 GOOD, BAD, OPEN = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("boiler", "inside", "linked", "pieces", "text")
+    """A block's text and what is known of the elements around it. ``hinted``: only names speak against it; ``item``: in a list."""
+
+    __slots__ = ("boiler", "hinted", "inside", "item", "linked", "pieces", "text")
 
-    def __init__(self, boiler: bool, inside: bool) -> None:
+    def __init__(self, boiler: bool = False, hinted: bool = False, inside: bool = False, item: bool = False) -> None:
         self.pieces: list[str] = []
-        self.linked, self.boiler, self.inside, self.text = 0, boiler, inside, ""
+        self.linked, self.boiler, self.hinted, self.inside, self.item, self.text = 0, boiler, hinted, inside, item, ""
+
+
+def named(value: str, hints: frozenset) -> bool:
+    """Whether one of the names in a class or id attribute is that of a thing in ``hints``."""
+    for name in value.split():
+        parts = _parts.findall(name)
+        if parts and not LAYOUT.intersection(parts) and (parts[-1] in hints or (parts[0] in hints and HOLDERS.issuperset(parts[1:]))):
+            return True
+    return False
 
 
-def role_of(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, whether it is the main part."""
-    main, boiler = name in ("article", "main"), name in NEVER or (name in OUTSIDE and not inside)
+def role_of(name: str, rest: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate, whether its names hint at that, whether it is the main part."""
+    main, boiler, hinted = name in ("article", "main"), name in NEVER or (name in OUTSIDE and not inside), False
     if rest and not rest.isspace():
         for key, value in _attribute.findall(rest):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                parts = set(_parts.findall(value))
-                if not main and name not in ("body", "html") and (parts & HINTS or (not inside and parts & OUTSIDE_HINTS)):
-                    boiler = True
-                elif main and {"comment", "comments", "reply"} & parts:
+                if not main and name not in ("body", "html") and (named(value, HINTS) or (not inside and named(value, OUTSIDE_HINTS))):
+                    hinted = True
+                elif main and {"comment", "comments", "reply"}.intersection(_parts.findall(value)):
                     main, boiler = False, True
             elif key == "role":
                 boiler, main = boiler or value in ROLES, main or value == "main"
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _hidden.search(value)):
                 boiler = True
-    return boiler, main and not boiler
+    return boiler, hinted and not boiler, main and not boiler and not hinted
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, white space and character references resolved, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, boilerplate, main part
-    boiler = inside = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # open block elements: name, boilerplate, hinted, main part
+    boiler = hinted = inside = items = 0
     links, breaks, at = 0, 0, 0
-    now, last, lowered = Block(False, False), {}, page.lower()
+    now, last, lowered = Block(), {}, page.lower()
 
     def flush() -> None:
         nonlocal now
         now.text = " ".join("".join(now.pieces).split())
         if now.text:
             out.append(now)
-        now = Block(boiler > 0, inside > 0)
+        now = Block(boiler > 0, hinted > 0, inside > 0, items > 0)
 
     def text(piece: str) -> None:
         nonlocal breaks
@@ -121,9 +142,9 @@ def blocks_of(page: str) -> list[Block]:
         return last[name]
 
     def leave(k: int) -> None:
-        nonlocal boiler, inside
-        for _, b, m in stack[k:]:
-            boiler, inside = boiler - b, inside - m
+        nonlocal boiler, hinted, inside, items
+        for name, b, h, m in stack[k:]:
+            boiler, hinted, inside, items = boiler - b, hinted - h, inside - m, items - (name == "li")
         del stack[k:]
 
     for m in _token.finditer(page):
@@ -155,18 +176,18 @@ def blocks_of(page: str) -> list[Block]:
                         leave(len(stack) - 1)
                 elif stack and stack[-1][0] == "p":
                     leave(len(stack) - 1)
-                if name in ("article", "main") and not inside and boiler:  # a menu that was never closed
-                    leave(next(k for k, x in enumerate(stack) if x[1]))
-                b, main = role_of(name, m["rest"], inside > 0)
-                stack.append((name, b, main))
-                boiler, inside = boiler + b, inside + main
+                if name in ("article", "main") and not inside and boiler + hinted:  # a menu that was never closed
+                    leave(next(k for k, x in enumerate(stack) if x[1] or x[2]))
+                b, h, main = role_of(name, m["rest"], inside > 0)
+                stack.append((name, b, h, main))
+                boiler, hinted, inside, items = boiler + b, hinted + h, inside + main, items + (name == "li")
             flush()
         elif m["rest"] and not closing and name not in VOID and ("class" in m["rest"] or "hidden" in m["rest"] or "role" in m["rest"] or "id" in m["rest"]):
-            b, _ = role_of(name, m["rest"], inside > 0)
-            if b and ends(name) >= at:
+            b, h, _ = role_of(name, m["rest"], inside > 0)
+            if (b or h) and ends(name) >= at:
                 flush()
-                stack.append((name, True, False))
-                boiler += 1
+                stack.append((name, b, h, False))
+                boiler, hinted = boiler + b, hinted + h
                 flush()
         elif closing and stack and stack[-1][0] == name:
             flush()
@@ -177,38 +198,52 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def share_of_stop_words(text: str) -> float:
-    words = _words.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def holds_most(blocks: list[Block], stops: list[float]) -> bool:
+    """Whether <article> and <main> hold more text than the blocks outside that are good by themselves."""
+    usable = [(b, s) for b, s in zip(blocks, stops, strict=True) if not b.boiler and b.linked <= LINKED * len(b.text)]
+    inside = sum(len(b.text) for b, _ in usable if b.inside)
+    return inside > sum(len(b.text) for b, s in usable if not b.inside and len(b.text) > LONG and s >= STOP_HIGH)
 
 
-def holds_most(blocks: list[Block]) -> bool:
-    """Whether <article> and <main> hold more text than the blocks outside that are good by themselves."""
-    usable = [b for b in blocks if not b.boiler and b.linked <= LINKED * len(b.text)]
-    inside = sum(len(b.text) for b in usable if b.inside)
-    return inside > sum(len(b.text) for b in usable if not b.inside and len(b.text) > LONG and share_of_stop_words(b.text) >= STOP_HIGH)
+def densities(blocks: list[Block]) -> list[float]:
+    """Each block's share of stop words; in a language without a list 1 for blocks with a sentence mark, else 0."""
+    words = [_words.findall(b.text.lower()) for b in blocks]
+    hits = [sum(w in STOP_WORDS for w in ws) for ws in words]
+    if sum(hits) < UNKNOWN * sum(map(len, words)):
+        return [float(bool(_sentence.search(b.text))) for b in blocks]
+    return [h / len(ws) if ws else 0.0 for h, ws in zip(hits, words, strict=True)]
 
 
 def classify(blocks: list[Block]) -> list[int]:
     """Both passes: GOOD or BAD for each block."""
-    whole = holds_most(blocks)
+    labels = _classify(blocks)
+    if GOOD not in labels and any(b.hinted and not b.boiler for b in blocks):
+        labels = _classify(blocks, hints=False)
+    return labels
+
+
+def _classify(blocks: list[Block], hints: bool = True) -> list[int]:
+    stops_of = densities(blocks)
+    boiler = [b.boiler or (hints and b.hinted) for b in blocks]
+    whole = holds_most([b for b, out in zip(blocks, boiler, strict=True) if not out], [s for s, out in zip(stops_of, boiler, strict=True) if not out])
     labels, dense = [], []
-    for b in blocks:
+    for b, stops, out in zip(blocks, stops_of, boiler, strict=True):
         n = len(b.text)
-        if b.boiler or (whole and not b.inside) or b.linked > LINKED * n:
+        if out or (whole and not b.inside) or (b.linked > LINKED * n and (b.item or not b.inside or n < SHORT)):
             labels.append(BAD)
             dense.append(False)
             continue
-        stops = share_of_stop_words(b.text)
         dense.append(stops >= STOP_LOW)
-        if n < SHORT:
+        if b.linked > LINKED * n:
+            labels.append(OPEN)
+        elif n < SHORT:
             labels.append(BAD if b.linked and not b.inside else OPEN)
         elif b.inside or (stops >= STOP_HIGH and n > LONG):
             labels.append(GOOD)
         else:
             labels.append(OPEN if stops >= STOP_LOW else BAD)
     # boilerplate is no neighbour: a block between a menu and an article isn't the menu's
-    near = [i for i, b in enumerate(blocks) if not b.boiler and not (whole and not b.inside)]
+    near = [i for i, b in enumerate(blocks) if not boiler[i] and not (whole and not b.inside)]
     before, last = {}, None
     for i in near:
         before[i] = last
