@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,12 +25,17 @@ def lower_ascii(column):
 
 @functools.cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="segmentary-")
+    path = tempfile.mkdtemp(prefix="segmentary-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, which is on one machine, a folder of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a folder of our own, if all runs on this machine; on a cluster an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return path or _own_dir()
 
 
 def _folder(spark: SparkSession) -> str:

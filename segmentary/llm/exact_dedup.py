@@ -66,7 +66,12 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
-    groups = text_groups(docs, salts)
-    rows = docs.select(sha256(normal()).alias("digest"), F.struct(*docs.columns).alias("row"))
-    return rows.join(groups, "digest").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    """One row, with all columns, of each group of equal texts: that of the largest doc_id.
+
+    Of rows repeated under that id, and of a group in which all ids are null, one row stays, too. Rows
+    meet their group by digest and id together, so the copies of one text are spread over all tasks.
+    """
+    id_or_least = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("id")
+    groups = text_groups(docs, salts).select("digest", id_or_least("keep_id"))
+    rows = docs.select(sha256(normal()).alias("digest"), id_or_least("doc_id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(groups, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select("row.*")
