@@ -12,9 +12,11 @@ table keys are formed.
 3. Pairs are verified on the full shingle sets, and verified links give components.
 4. Of a bucket whose members are then still in several components, all pairs across components are
    decided: in a small one (``SMALL``) as pairs like those of step 3. Larger ones that share members
-   are a family; its members are dealt into blocks of bounded size, and for each two blocks one task
-   holds all sets of the one against all of the other, by a product of matrices. So no pair of a large
-   bucket is a row anywhere, none is left out, and a member is sent as often as its family has blocks.
+   are a family; its members are dealt into blocks of bounded size, those of a large component into
+   blocks of its own, and for each two blocks that aren't of one component a task holds all sets of the
+   one against all of the other, by a product of matrices. So no pair of a large bucket is a row
+   anywhere, none across components is left out, none within a large component is asked again, and a
+   member is sent as often as its family has blocks of other components.
 """
 
 from __future__ import annotations
@@ -256,13 +258,21 @@ def within_families(large: DataFrame, members: DataFrame, docs: DataFrame, words
     sizes = members.groupBy("id").agg(F.sum(F.col("n") + MEMBER).alias("n"))
     rows = large.select("id", "root").distinct().join(family.select(F.col("u").alias("id"), F.col("v").alias("f")), "id", "left").join(sizes, "id")
     rows = materialize(rows.select("id", "root", "n", F.coalesce("f", "id").alias("family")))
-    blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    dealt = rows.join(blocks, "family").select("id", "root", "family", "blocks", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"))
-    dealt = materialize(dealt)
+    parts = rows.groupBy("family", "root").agg(F.sum("n").alias("n"))
+    owner = F.when(F.col("n") > BLOCK, F.col("root"))  # null: small components share blocks
+    owners = parts.groupBy("family", owner.alias("owner")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    plan = owners.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("owner", "blocks"))).alias("o"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+    first = lambda i: F.aggregate(F.slice("o", 1, i), F.lit(0), lambda s, x: s + x["blocks"])
+    plan = plan.select("family", F.transform("o", lambda x, i: F.struct(x["owner"].alias("owner"), x["blocks"].alias("blocks"), first(i).alias("first"))).alias("o"))
+    dealt = rows.join(plan, "family")
+    large_one = F.exists("o", lambda x: x["owner"].eqNullSafe(F.col("root")))
+    dealt = dealt.withColumn("mine", F.element_at(F.filter("o", lambda x: x["owner"].eqNullSafe(F.when(large_one, F.col("root")))), 1))
+    block = (F.col("mine.first") + F.pmod(F.xxhash64("id", F.lit(5)), F.col("mine.blocks"))).cast("int").alias("block")
+    others = F.flatten(F.transform(F.filter("o", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("mine.owner"))), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
+    dealt = materialize(dealt.select("id", "root", "family", block, others.alias("others")))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     known = texts.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = known.select("id", "root", "family", "block", "text", other).select("id", "root", "block", "text", "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    sent = known.select("id", "root", "family", "block", "text", F.explode("others").alias("other")).select("id", "root", "block", "text", "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
     def decide(group: pa.Table) -> pa.Table:
         shingler, sides = Shingler(words), {}

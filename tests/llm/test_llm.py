@@ -289,6 +289,25 @@ def test_near_dedup_large_family(spark):
     assert sorted(tuple(r) for r in found) == brute_components(rows, 3, 85, 100)
 
 
+def sparse_family(k=300, seed=1):
+    """Each text replaces six of 32 places by words of its own: few pairs are linked, and no text leads."""
+    rng, rows = random.Random(seed), []
+    for i in range(k):
+        words = [f"b{j}" for j in range(300)]
+        for slot in rng.sample(range(32), 6):
+            words[9 * slot] = f"own{i}x{slot}"
+        rows.append((i + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 14])
+def test_near_dedup_sparse_family(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows = sparse_family()
+    found = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()
+    assert sorted(tuple(r) for r in found) == brute_components(rows, 3, 85, 100)
+
+
 def test_common():
     rng = np.random.default_rng(4)
     xs, ys = ([np.unique(rng.integers(0, top, size)).astype(np.uint64) for top in (50, 9000) for size in range(1, 400, 9)] for _ in range(2))
