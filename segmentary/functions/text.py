@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as Python's strip and split see it; Java's Unicode class lacks U+001C to U+001F.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same, one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -61,3 +63,8 @@ def mixes_kana_and_simplified(text: Column) -> Column:
 def occurrences(text: Column, part: Column) -> Column:
     """How often ``part`` occurs in ``text`` without overlaps; an empty part never does."""
     return F.when(F.length(part) == 0, F.lit(0)).otherwise((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with a comma before every third digit."""
+    return F.format_number(number, 0)

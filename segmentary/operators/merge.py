@@ -18,7 +18,7 @@ def merge_short(segments: DataFrame, shortest: float = 2.0, largest_gap: float =
     not trimmed. Whether a segment is taken in depends on what was merged before, so this is a fold.
     It can't go on over a large gap, nor past a segment long in itself (if no earlier one starts
     later), so a window cuts each file there first, and the fold's arrays are those short stretches,
-    not whole files. ``seq`` is that of the first, numbered anew from 0.
+    not whole files. A text that takes in a null one is null. ``seq`` is that of the first, numbered anew from 0.
     """
     order = Window.partitionBy("file_id").orderBy("seq")
     prev_end, prev_start = F.lag("end").over(order), F.lag("start").over(order)
@@ -27,13 +27,23 @@ def merge_short(segments: DataFrame, shortest: float = 2.0, largest_gap: float =
     marked = segments.withColumn("__cut", F.when(cut, 1).otherwise(0)).withColumn("__stretch", F.sum("__cut").over(order.rowsBetween(FIRST, 0)))
     fields = ("seq", "start", "end", "text", *METRICS)
     stretches = marked.groupBy("file_id", "__stretch").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    numbered = stretches.select("file_id", "__stretch", F.explode(F.arrays_zip("s", group_numbers(shortest, largest_gap).alias("g"))).alias("x")).select("file_id", "__stretch", "x.s.*", "x.g")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
+    first = [F.min_by(m, "seq").alias(m) for m in METRICS]
+    out = numbered.groupBy("file_id", "__stretch", "g").agg(
+        F.min("seq").alias("seq"), F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), F.when(F.count("text") == F.count(F.lit(1)), texts).alias("text"), *first
+    )
+    return out.select("file_id", *fields).withColumn("seq", F.row_number().over(order) - 1)
+
+
+def group_numbers(shortest: float, largest_gap: float) -> Column:
+    """For each element of ``s`` the number of the merged segment it goes to; the fold carries the open one's times and these numbers only, no texts."""
+    none = F.lit(None).cast("double")
+    begin = F.struct(none.alias("start"), none.alias("end"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("g"))
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        merged = F.struct(*[(F.concat(last["text"], F.lit(" "), x["text"]) if f == "text" else x[f] if f == "end" else last[f]).alias(f) for f in fields])
-        takes = (last["end"] - last["start"] < shortest) & (x["start"] - last["end"] <= largest_gap)
-        return F.when(takes, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(x)))
-
-    folded = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 1, 1), step)
-    out = stretches.select("file_id", F.explode(folded).alias("x")).select("file_id", "x.*")
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy("file_id").orderBy("seq")) - 1)
+        takes = F.coalesce((done["end"] - done["start"] < shortest) & (x["start"] - done["end"] <= largest_gap), F.lit(False))
+        k = F.when(takes, done["k"]).otherwise(done["k"] + 1)
+        return F.struct(F.when(takes, done["start"]).otherwise(x["start"]).alias("start"), x["end"].alias("end"), k.alias("k"), F.concat(done["g"], F.array(k)).alias("g"))
+
+    return F.aggregate("s", begin, step, lambda done: done["g"])

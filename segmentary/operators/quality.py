@@ -38,18 +38,30 @@ def numeric_reasons(threshold: float) -> list[Column]:
     return [F.when(logprob < threshold, reason(LOW, logprob)), F.when(silence > 0.7, reason(SILENT, silence)), F.when(ratio > 2.5, reason(PACKED, ratio))]
 
 
-def reasons(threshold: float = -0.8, rules: Sequence[Rule] = RULES) -> Column:
-    """All reasons against a segment in fixed order; none means clear. Every bound is strict."""
-    stripped = X.strip(X.filled(F.col("text")))
-    return F.array_compact(
-        F.array(
-            *numeric_reasons(threshold),
-            F.when(any_rule(stripped, rules), ODD),
-            F.when(X.mixes_kana_and_simplified(stripped), MIXED),
-            F.when((F.length(stripped) < 3) & (metric("avg_logprob") < -0.5), BRIEF),
-        )
-    )
+def findings(stripped: Column, threshold: float, rules: Sequence[Rule]) -> list[Column]:
+    """The six findings in their fixed order, as booleans that are never null. Every bound is strict."""
+    logprob, silence, ratio = metric("avg_logprob"), metric("no_speech_prob"), metric("compression_ratio")
+    return [logprob < threshold, silence > 0.7, ratio > 2.5, any_rule(stripped, rules), X.mixes_kana_and_simplified(stripped), (F.length(stripped) < 3) & (logprob < -0.5)]
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, by a generator of one row: the optimiser would copy a projection into each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def with_reasons(segments: DataFrame, threshold: float = -0.8, rules: Sequence[Rule] = RULES) -> DataFrame:
-    return segments.withColumn("reasons", reasons(threshold, rules))
+    """Add ``reasons``, all reasons against a segment in fixed order; none means clear."""
+    logprob, silence, ratio = metric("avg_logprob"), metric("no_speech_prob"), metric("compression_ratio")
+    labels = [reason(LOW, logprob), reason(SILENT, silence), reason(PACKED, ratio), F.lit(ODD), F.lit(MIXED), F.lit(BRIEF)]
+    found = once(segments, __stripped=X.strip(X.filled(F.col("text"))))
+    flags = findings(F.col("__stripped"), threshold, rules)
+    return found.withColumn("reasons", F.array_compact(F.array(*[F.when(f, label) for f, label in zip(flags, labels, strict=True)]))).drop("__stripped")
+
+
+def with_reason_count(segments: DataFrame, threshold: float = -0.8, rules: Sequence[Rule] = RULES, name: str = "n_reasons") -> DataFrame:
+    """Add how many reasons there are, without their labels."""
+    found = once(segments, __stripped=X.strip(X.filled(F.col("text"))))
+    total = F.lit(0)
+    for flag in findings(F.col("__stripped"), threshold, rules):
+        total = total + flag.cast("int")
+    return once(found, **{name: total}).drop("__stripped")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.clock import millis
 from ..functions.text import filled, strip
 from ..schema import METRICS
-from .quality import with_reasons
+from .quality import with_reason_count
 
 MARGIN_MS = 500
 
@@ -30,13 +30,14 @@ def best_pick(segments: DataFrame, candidates: DataFrame, threshold: float = -0.
 
     A candidate must score (avg_logprob) above the original and have fewer reasons against it; of
     those the highest score wins, of equals the earliest. Position and times stay. Adds ``attempt``
-    (null: the original stayed). Only unclear segments are joined; ``max_by`` on the candidates is
-    combined before the shuffle.
+    (null: the original stayed). Only unclear segments are joined, and reasons are counted only against
+    candidates of a higher score.
     """
-    judged = with_reasons(segments, threshold)
-    unclear = judged.filter(F.size("reasons") > 0).select("file_id", "seq", F.coalesce("avg_logprob", F.lit(-999.0)).alias("old_score"), F.size("reasons").alias("old_n"))
-    tried = with_reasons(candidates.filter(F.col("attempt") < attempts), threshold).withColumns({"score": F.coalesce("avg_logprob", F.lit(-999.0)), "n": F.size("reasons")})
-    fair = tried.join(unclear, ["file_id", "seq"]).filter((F.col("score") > F.col("old_score")) & (F.col("n") < F.col("old_n")))
+    judged = with_reason_count(segments, threshold, name="old_n")
+    unclear = judged.filter("old_n > 0").select("file_id", "seq", F.coalesce("avg_logprob", F.lit(-999.0)).alias("old_score"), "old_n")
+    tried = candidates.filter(F.col("attempt") < attempts).withColumn("score", F.coalesce("avg_logprob", F.lit(-999.0)))
+    better = tried.join(unclear, ["file_id", "seq"]).filter(F.col("score") > F.col("old_score"))  # texts of the others needn't be judged
+    fair = with_reason_count(better, threshold, name="n").filter(F.col("n") < F.col("old_n"))
     order = Window.partitionBy("file_id", "seq").orderBy(F.col("score").desc(), F.col("attempt"))
     best = fair.withColumn("place", F.row_number().over(order)).filter("place = 1")
     best = best.select("file_id", "seq", "attempt", F.struct("text", *METRICS).alias("new"))

@@ -14,7 +14,7 @@ from .operators import chunks as C
 from .operators.collect import counters, language_of_last_chunk, results
 from .operators.loops import truncate_loops
 from .operators.merge import merge_short
-from .operators.quality import any_rule, reasons, with_reasons
+from .operators.quality import any_rule, with_reason_count, with_reasons
 from .operators.repeats import removed, run_capped, seen_cut
 from .operators.retry import best_pick, with_span
 from .plans import profiles
@@ -168,8 +168,8 @@ SELECT lang, count(*) AS segments, count(*) FILTER (n > 0) AS unclear, sum(n) AS
 def unclear_summary(spark, sf_dir):
     """By language, with all rules but the one that needs a back reference. Counts are summed per file before languages are joined."""
     rules = (X.has_kana_around_hanzi, X.has_stop_run, X.is_numeric_only, X.has_particle_before_hanzi)
-    n = F.size(reasons(-0.8, rules))
-    each = adapted(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("s"), F.count_if(n > 0).alias("u"), F.sum(n).alias("n"))
+    counted = with_reason_count(adapted(spark, sf_dir), -0.8, rules)
+    each = counted.groupBy("file_id").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("n_reasons") > 0).alias("u"), F.sum("n_reasons").alias("n"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang")
     return each.join(docs, "file_id").groupBy("lang").agg(F.sum("s").alias("segments"), F.sum("u").alias("unclear"), F.sum("n").alias("reasons"))
 

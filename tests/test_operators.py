@@ -260,3 +260,10 @@ def test_results(spark):
     chunks = spark.createDataFrame([(1, 1, "en"), (1, 2, "ja"), (2, None, None)], "file_id long, chunk_no int, language string")
     assert {r["file_id"]: r["language"] for r in language_of_last_chunk(chunks).collect()} == {1: "ja", 2: "unknown"}
     assert tuple(counters(spark.createDataFrame([(True, 2), (False, 5)], "ok boolean, improved long")).first()) == (1, 1, 2)
+
+
+def test_thousands(spark):
+    from segmentary.functions.text import thousands
+
+    row = spark.createDataFrame([(0, 999, 1234567, -1000)], "a long, b long, c long, d long").select(*[thousands(F.col(c)).alias(c) for c in "abcd"]).first()
+    assert list(row) == ["0", "999", "1,234,567", "-1,000"]

@@ -1,4 +1,5 @@
 import os
+from pathlib import Path
 
 from segmentary.plans import profiles
 from segmentary.plans.options import options_matrix, options_of_retry
@@ -77,3 +78,18 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_rest_without_the_training_data_operators(tmp_path):
+    """With the subpackage gone, and its pipeline module left or gone, the entry still lists the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 30 and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (tmp_path / "r" / name).unlink()
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
