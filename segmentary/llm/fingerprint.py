@@ -103,14 +103,15 @@ def dealt(rows: DataFrame, ranges: int) -> DataFrame:
     Adds ``range`` and ``guest``. Ranges are cut at some of the rows' own keys, so the highest key of a
     range is known: its row is dealt to the range above as well, as a guest that comes after all others,
     and that of the highest key of all to the lowest range. Cuts come from about 64 rows a range, picked
-    by a hash of the key; only they reach the driver. ``tie`` is a hash of the text: so rows that share
+    by a hash of the key whatever the table's size; only they reach the driver. ``tie`` is a hash of the text: so rows that share
     an id, or have none, are spread, too, unless their texts are equal as well.
     """
     keys = rows.select("id", "tie")
-    picked = keys.orderBy(F.xxhash64("id", "tie"), "id", "tie").limit(64 * ranges).collect()
-    found = sorted({(r["id"], r["tie"]) for r in picked})
-    top = keys.agg(F.max(F.struct("id", "tie")).alias("top")).first()["top"]
-    cuts = sorted({found[i * len(found) // ranges] for i in range(1, ranges)} | {(top["id"], top["tie"])}) if found else [(0, 0)]
+    top, n = keys.agg(F.max(F.struct("id", "tie")).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    share = F.lit(min(1 << 30, 64 * ranges * (1 << 30) // max(n, 1)))
+    picked = keys.filter(F.pmod(F.xxhash64("id", "tie", F.lit(17)), F.lit(1 << 30)) < share).distinct().collect()
+    found = sorted((r["id"], r["tie"]) for r in picked)
+    cuts = sorted(({found[i * len(found) // ranges] for i in range(1, ranges)} if found else set()) | ({(top["id"], top["tie"])} if n else {(0, 0)}))
     step = int(len(cuts) ** 0.5) + 1
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     # as text, one literal of the plan however many they are
