@@ -61,3 +61,15 @@ def test_near_copies_of_a_large_family(spark):
     rows = large_family(700)
     found = corpus_pipeline.no_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r["doc_id"] for r in found.collect()) == [i for i, _, _, kept in brute_components(rows, 5, 80, 100) if kept]
+
+
+def test_empty_null_and_repeated_rows(spark, tmp_path):
+    """Null and empty texts go with the languages, repeated rows leave one, a null id stays an id."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    one, other = "Hello the world, you and I are here in the house. " * 5, "The river and the sea are in the house of the world. " * 5
+    rows = [(1, one, "en", "s", 0), (1, one, "en", "s", 0), (2, None, "en", "s", 0), (3, "", None, "s", 0), (None, other, "en", None, 0), (None, other, "en", None, 0), (5, "word of the house " * 3000, "en", "s", 0)]
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for docs, kept in (([], []), (rows, [1, 5, None])):
+        spark.createDataFrame(docs, kind).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert sorted({r["doc_id"] for r in found}, key=str) == kept and sum(r["piece"] == 0 for r in found) == len(kept)
