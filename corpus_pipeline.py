@@ -1,4 +1,9 @@
-"""A training-data pipeline: languages known to us, clean of abuse, each text once, packed for training."""
+"""A training-data pipeline: languages known to us, clean of abuse, each text once, packed for training.
+
+Null and empty texts have no language and go in the first stage. Of rows repeated under one id, or of
+equal texts without any id, one stays. A null id is an id like others. An empty table gives an empty
+result. Further columns are handed on up to the last stage, under whatever name.
+"""
 
 from __future__ import annotations
 
