@@ -8,13 +8,12 @@ result. Further columns are handed on up to the last stage, under whatever name.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from segmentary.llm import language_id as languages
 from segmentary.llm import toxicity as toxic
-from segmentary.llm._common import materialize, table
+from segmentary.llm._common import materialize, sent_to_all, table
 from segmentary.llm.exact_dedup import keep_one
-from segmentary.llm.minhash import BROADCAST_ROWS, near_dedup
+from segmentary.llm.minhash import near_dedup
 from segmentary.llm.packing import best_fit_packing
 from segmentary.llm.queries import PATTERN, RANKS_50K, SPECIAL_50K
 
@@ -37,7 +36,7 @@ def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words to a shingle, a similarity of 0.8 or more."""
     gone = materialize(near_dedup(docs).filter("NOT kept").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sent_to_all(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

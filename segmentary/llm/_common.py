@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Ids or hashes (8 bytes each) up to which they are sent to all executors; above, tables are joined by shuffles.
+BROADCAST_KEYS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +55,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_to_all(keys: DataFrame) -> DataFrame:
+    """A written table of one number a row, to be sent to all executors unless it is larger than ``BROADCAST_KEYS``."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application wrote into the shared folder, once its results have been written elsewhere."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))

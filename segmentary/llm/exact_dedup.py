@@ -22,9 +22,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, materialize
+from ._common import lower_ascii, materialize, sent_to_all
 
 SALTS = 16
+#: Letters of each part of a text that ``outline`` reads.
+PART = 64
 
 
 def sha256(text: Column) -> Column:
@@ -65,13 +67,26 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), text_sha.alias("text_sha256"))
 
 
+def outline(text: str = "text") -> Column:
+    """A hash that equal texts share and few others do: of the length and of what is at the beginning, in the middle and at the end."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    half = F.floor(F.length(whole) / 2).cast("int")
+    return F.xxhash64(F.octet_length(whole), *(lower_ascii(F.substring(whole, at, F.lit(PART))) for at in (F.lit(1), half, F.lit(-PART))))
+
+
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row, with all columns, of each group of equal texts: that of the largest doc_id.
 
     Of rows repeated under that id, and of a group in which all ids are null, one row stays, too. Rows
-    meet their group by digest and id together, so the copies of one text are spread over all tasks.
+    whose outline no other row has are alone with their text and stay without a shuffle. Only the others
+    are compared by their whole texts; they meet their group by digest and id together, so the copies of
+    one text are spread over all tasks.
     """
+    rows = docs.select(outline().alias("outline"), F.struct(*docs.columns).alias("row"))
+    shared = sent_to_all(materialize(rows.groupBy("outline").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("outline")))
+    alone = rows.join(shared, "outline", "left_anti").select("row.*")
+    docs = materialize(rows.join(shared, "outline", "left_semi").select("row.*"))
     id_or_least = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("id")
     groups = text_groups(docs, salts).select("digest", id_or_least("keep_id"))
     rows = docs.select(sha256(normal()).alias("digest"), id_or_least("doc_id"), F.struct(*docs.columns).alias("row"))
-    return rows.join(groups, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select("row.*")
+    return alone.union(rows.join(groups, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select("row.*"))

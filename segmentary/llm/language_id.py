@@ -8,7 +8,9 @@ training, so the cost of a text is a sum over its bytes, kept in whole 2**-16 bi
 
 All languages share one trie. For the node g reached with a byte and the longest context c before it
 the cost is byte[g] + escape[c], where escape[] adds up the escapes of a context and of its shorter
-forms, and byte[g] takes off those that are not paid. So a text costs two table lookups a byte.
+forms, and byte[g] takes off those that are not paid. So a text costs two table lookups a byte and language, and
+one a byte for each length of context, all over whole arrays: nodes are numbered by depth, so the
+deepest of several is their maximum, and costs are summed a language at a time.
 """
 
 from __future__ import annotations
@@ -50,12 +52,16 @@ class Model:
         used = sorted({g[0] for g in grams if len(g) == 1})
         self.symbol = np.full(256, len(used), np.int64)
         self.symbol[used] = np.arange(len(used))
-        #: child[row[n], symbol]: node; node 0 and row 0 stand for nothing. Rows are looked up by node.
-        self.row = np.zeros(len(node) + 1, np.int32)
-        self.row[list(row)] = list(row.values())
-        self.child = np.zeros((len(inner) + 1, len(used) + 1), np.int32)
+        #: child[row[n] + symbol]: node; node 0 and row 0 stand for nothing. Rows are looked up by node.
+        self.width = len(used) + 1
+        self.row = np.zeros(len(node) + 1, np.int64)
+        self.row[list(row)] = np.fromiter(row.values(), np.int64) * self.width
+        self.child = np.zeros((len(inner) + 1) * self.width, np.int32)
         for g in grams:
-            self.child[row[node[g[:-1]]], self.symbol[g[-1]]] = node[g]
+            self.child[self.row[node[g[:-1]]] + self.symbol[g[-1]]] = node[g]
+        #: Nodes of one symbol, and of two (width times the first one and the second).
+        self.one = self.child[self.row[1] + np.arange(self.width)]
+        self.two = self.child[self.row[self.one][:, None] + np.arange(self.width)].ravel()
         n, k = len(node) + 1, len(self.langs)
         escape, cost = np.zeros((n, k)), np.zeros((n, k))
         for j, lang in enumerate(self.langs):
@@ -81,8 +87,9 @@ class Model:
         # byte 0 (never seen) pays every escape; another one not those of its own context and the shorter ones
         less = escape[parent]
         less[0] = 0.0
-        self.escape = np.rint(escape * ONE).astype(np.int64)
-        self.byte = np.rint(cost * ONE).astype(np.int64) - np.rint(less * ONE).astype(np.int64)
+        # by language; each is far below 2^15 bits
+        self.escape = np.rint(escape * ONE).astype(np.int32).T.copy()
+        self.byte = (np.rint(cost * ONE).astype(np.int32) - np.rint(less * ONE).astype(np.int32)).T.copy()
         self.depth = np.zeros(n, np.int8)
         for g in grams:
             self.depth[node[g]] = len(g)
@@ -91,17 +98,16 @@ class Model:
         """Code length of ``data`` for each language, in 2**-16 bits."""
         s = self.symbol[np.frombuffer(data, np.uint8)]
         n = len(s)
-        level = self.child[self.row[1], s]
-        deepest, context = level.copy(), level.copy()
-        for k in range(2, self.order + 2):
-            after = np.zeros(n, np.int32)
-            after[1:] = self.child[self.row[level[:-1]], s[1:]]
-            level = after
-            np.copyto(deepest, level, where=level > 0)
+        deepest = self.one[s]
+        after = np.ones(n + 1, np.int32)  # the longest known context before each byte
+        np.maximum(after[1:], deepest, out=after[1:])
+        level = deepest
+        for k in range(2, min(self.order + 1, n) + 1):
+            level = self.two[s[:-1] * self.width + s[1:]] if k == 2 else self.child[self.row[level[:-1]] + s[k - 1 :]]
+            np.maximum(deepest[k - 1 :], level, out=deepest[k - 1 :])
             if k <= self.order:
-                np.copyto(context, level, where=level > 0)
-        context = np.concatenate(([1], np.where(context > 0, context, 1)[:-1])) if n else context
-        return self.byte[deepest].sum(0) + self.escape[context].sum(0)
+                np.maximum(after[k:], level, out=after[k:])
+        return np.array([b.take(deepest).sum(dtype=np.int64) + e.take(after[:-1]).sum(dtype=np.int64) for b, e in zip(self.byte, self.escape, strict=True)])
 
     def judge(self, text: str) -> tuple[str, float, float]:
         """Language, confidence from 0 to 1, bits a byte under the best code."""

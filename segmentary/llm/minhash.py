@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, materialize
+from ._common import map_batches, materialize, sent_to_all
 from .components import components
 
 HALF, ROWS = 8, 2
@@ -39,7 +39,6 @@ SMALL = 16
 BLOCK, MEMBER = 1 << 17, 128
 #: Shingles that are a matrix at a time.
 COLUMNS = 1 << 12
-MEMO = 1 << 18
 #: Ids or pairs (16 bytes each) up to which they are sent to all executors; above, tables are joined by shuffles.
 BROADCAST_ROWS = 1 << 18
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,29 +51,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler(dict):
-    """Sets of word shingles as sorted 64-bit hashes; a memo of word hashes."""
+class Shingler:
+    """Sets of word shingles as sorted 64-bit hashes."""
 
     def __init__(self, words: int) -> None:
         self.words = words
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09 to \x0d
         n, k = len(words), self.words
         if not n:
             return np.empty(0, np.uint64)
-        hashes = np.fromiter(map(self.__getitem__, words), np.uint64, n)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)  # quicker than a memo
         k = min(n, k)
         out = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
             out = mix(out * C2 + hashes[i : n - k + 1 + i])
-        return np.unique(out)
+        out.sort()
+        first = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=first[1:])
+        return out[first]
 
 
 def minhashes(shingles: np.ndarray, count: int) -> np.ndarray:
@@ -147,6 +143,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]
         second = texts.join(F.broadcast(pairs.select("v").distinct()), texts["doc_id"] == F.col("v")).select("v", F.col("text").alias("t"))
         both = first.join(second, "v").select("u", "v", "s", "t")
     else:
+        wanted = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+        texts = materialize(texts.join(sent_to_all(wanted), "doc_id", "left_semi"))  # the others are neither shuffled nor sorted
         first = pairs.join(texts, texts["doc_id"] == pairs["u"]).select("u", "v", F.col("text").alias("s"))
         both = first.join(texts, texts["doc_id"] == F.col("v")).select("u", "v", "s", F.col("text").alias("t"))
 

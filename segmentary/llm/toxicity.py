@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -85,6 +86,22 @@ def shortened(word: str, k: int) -> set[str]:
     return out
 
 
+def sides(entries: list[str], k: int) -> dict[int, list[tuple[slice, set[str]]]]:
+    """By the length of a word, where it has a part of an entry if it is within ``k`` edits of it, and the parts that may be there.
+
+    Of k + 1 parts one has no edit: the first one then begins the word, the last one ends it, and another one is moved by up to k letters.
+    """
+    found: dict[int, dict[tuple, set[str]]] = {}
+    for w in entries:
+        cuts = [i * len(w) // (k + 1) for i in range(k + 2)]
+        for n in range(len(w) - k, len(w) + k + 1):
+            for i, (a, b) in enumerate(pairwise(cuts)):
+                for shift in {0} if i == 0 else {n - len(w)} if i == k else range(-k, k + 1):
+                    if 0 <= a + shift and b + shift <= n:
+                        found.setdefault(n, {}).setdefault((a + shift, b + shift), set()).add(w[a:b])
+    return {n: [(slice(*at), parts) for at, parts in x.items()] for n, x in found.items()}
+
+
 class Trie:
     """Words, and stems that any ending may follow, with weights. ``covered``: words under a stem, which only misspellings need."""
 
@@ -102,24 +119,25 @@ class Trie:
                 node = node.setdefault(c, {})
             node["~w"] = (word, max(weight, known))
         self.entries = [w for w in {**words, **(covered or {})} if allowed(w)]
-        self.shapes: tuple[set[str], set[str], set[str]] | None = None
+        self.shapes: tuple[tuple[dict[int, list[tuple[slice, set[str]]]], set[str]], ...] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"shapes": None}
 
     def worth_it(self, word: str, k: int) -> bool:
-        """Whether an entry may be near: one edit leaves words equal but for a letter each, and of three parts of an entry two edits leave one."""
+        """Whether an entry may be near: ``k`` edits leave one of k + 1 parts of it whole, and words equal but for k letters each.
+
+        The parts come first, as few words have one where entries of about their length have it.
+        """
         if self.shapes is None:
-            once, twice = ([w for w in self.entries if allowed(w) >= e] for e in (1, 2))
-            parts = {w[i * len(w) // 3 : (i + 1) * len(w) // 3] for w in twice for i in range(3)}
-            self.shapes = {x for w in once for x in shortened(w, 1)}, parts, {x for w in twice for x in shortened(w, 2)}
-        once, parts, twice = self.shapes
-        if not once.isdisjoint(shortened(word, 1)):
-            return True
-        if k < 2 or not parts:
-            return False
-        sizes = {len(x) for x in parts}
-        return not parts.isdisjoint({word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}) and not twice.isdisjoint(shortened(word, 2))
+            self.shapes = tuple((sides(near, e), {x for w in near for x in shortened(w, e)}) for e in (1, 2) if (near := [w for w in self.entries if allowed(w) >= e]))
+        for e, (parts, short) in enumerate(self.shapes[:k], 1):
+            for at, known in parts.get(len(word), ()):
+                if word[at] in known:
+                    if not short.isdisjoint(shortened(word, e)):
+                        return True
+                    break
+        return False
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
