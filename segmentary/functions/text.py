@@ -34,17 +34,25 @@ def preview(text: Column, n: int = 50) -> Column:
     return F.concat(F.substring(text, 1, n), F.lit("..."))
 
 
+def has_any(text: Column, characters: str) -> Column:
+    """Any of these characters. Bytes are compared, which is far quicker than a class of a regular expression."""
+    out = F.lit(False)
+    for c in characters:
+        out = out | F.contains(text, F.lit(c))
+    return (F.octet_length(text) > F.length(text)) & out if all(c > "\x7f" for c in characters) else out
+
+
 def has_repeated_character(text: Column) -> Column:
     """One character five times or more in a row."""
-    return text.rlike(r"(?d)(.)\1{4,}")
+    return text.rlike(r"(?d)(.)\1\1\1\1")
 
 
 def has_kana_around_hanzi(text: Column) -> Column:
-    return text.rlike("[ぁ-んァ-ン][们这那什么怎样][ぁ-んァ-ン]")
+    return has_any(text, "们这那什么怎样") & text.rlike("[ぁ-んァ-ン][们这那什么怎样][ぁ-んァ-ン]")
 
 
 def has_stop_run(text: Column) -> Column:
-    return text.rlike("[。、]{3,}")
+    return has_any(text, "。、") & text.rlike("[。、]{3,}")
 
 
 def is_numeric_only(stripped: Column) -> Column:
@@ -52,12 +60,12 @@ def is_numeric_only(stripped: Column) -> Column:
 
 
 def has_particle_before_hanzi(text: Column) -> Column:
-    return text.rlike("[はがをにでと][们这那什]")
+    return has_any(text, "们这那什") & text.rlike("[はがをにでと][们这那什]")
 
 
 def mixes_kana_and_simplified(text: Column) -> Column:
     """Any kana (no length mark) together with any of ten simplified characters."""
-    return text.rlike("[ぁ-ゖァ-ヶ]") & text.rlike("[这那里么们该让给对为]")
+    return has_any(text, "这那里么们该让给对为") & text.rlike("[ぁ-ゖァ-ヶ]")
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -16,7 +16,11 @@ def results(segments: DataFrame, trim: bool = False) -> DataFrame:
     those that are empty as they are are left out.
     """
     fields = [f for f in ("seq", "start", "end", "text", *METRICS) if f in segments.columns]
-    grouped = segments.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segments"))
+    return results_of_arrays(segments.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segments")), trim)
+
+
+def results_of_arrays(grouped: DataFrame, trim: bool = False) -> DataFrame:
+    """The same of (file_id, segments), the arrays being in order."""
     texts = F.transform("segments", lambda s: strip(filled(s["text"])) if trim else s["text"])
     if not trim:
         texts = F.filter(texts, lambda t: t.isNotNull() & (t != ""))

@@ -24,9 +24,9 @@ def any_rule(stripped: Column, rules: Sequence[Rule] = RULES) -> Column:
     return out
 
 
-def metric(name: str) -> Column:
-    """A metric as the rules see it; what is missing raises no suspicion."""
-    return F.coalesce(F.col(name), F.lit(1.0 if name == "compression_ratio" else 0.0))
+def metric(name: str, of: Column | None = None) -> Column:
+    """A metric as the rules see it, of the row or of a struct; what is missing raises no suspicion."""
+    return F.coalesce(F.col(name) if of is None else of[name], F.lit(1.0 if name == "compression_ratio" else 0.0))
 
 
 def reason(label: str, value: Column) -> Column:
@@ -38,10 +38,29 @@ def numeric_reasons(threshold: float) -> list[Column]:
     return [F.when(logprob < threshold, reason(LOW, logprob)), F.when(silence > 0.7, reason(SILENT, silence)), F.when(ratio > 2.5, reason(PACKED, ratio))]
 
 
+def total(flags: Sequence[Column]) -> Column:
+    out = F.lit(0)
+    for flag in flags:
+        out = out + flag.cast("int")
+    return out
+
+
+def findings_of_metrics(threshold: float, of: Column | None = None) -> list[Column]:
+    return [metric("avg_logprob", of) < threshold, metric("no_speech_prob", of) > 0.7, metric("compression_ratio", of) > 2.5]
+
+
+def findings_of_text(stripped: Column, rules: Sequence[Rule]) -> list[Column]:
+    """Those that follow from the text alone."""
+    return [any_rule(stripped, rules), X.mixes_kana_and_simplified(stripped)]
+
+
+def brief(stripped: Column, of: Column | None = None) -> Column:
+    return (F.length(stripped) < 3) & (metric("avg_logprob", of) < -0.5)
+
+
 def findings(stripped: Column, threshold: float, rules: Sequence[Rule]) -> list[Column]:
     """The six findings in their fixed order, as booleans that are never null. Every bound is strict."""
-    logprob, silence, ratio = metric("avg_logprob"), metric("no_speech_prob"), metric("compression_ratio")
-    return [logprob < threshold, silence > 0.7, ratio > 2.5, any_rule(stripped, rules), X.mixes_kana_and_simplified(stripped), (F.length(stripped) < 3) & (logprob < -0.5)]
+    return [*findings_of_metrics(threshold), *findings_of_text(stripped, rules), brief(stripped)]
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -61,7 +80,4 @@ def with_reasons(segments: DataFrame, threshold: float = -0.8, rules: Sequence[R
 def with_reason_count(segments: DataFrame, threshold: float = -0.8, rules: Sequence[Rule] = RULES, name: str = "n_reasons") -> DataFrame:
     """Add how many reasons there are, without their labels."""
     found = once(segments, __stripped=X.strip(X.filled(F.col("text"))))
-    total = F.lit(0)
-    for flag in findings(F.col("__stripped"), threshold, rules):
-        total = total + flag.cast("int")
-    return once(found, **{name: total}).drop("__stripped")
+    return once(found, **{name: total(findings(F.col("__stripped"), threshold, rules))}).drop("__stripped")

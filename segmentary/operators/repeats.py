@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import filled, normalised, strip
+from ..functions.values import let
 
 FIRST = Window.unboundedPreceding
 
@@ -18,13 +19,13 @@ def run_capped(segments: DataFrame, cap: int = 2, shortest: int = 2) -> DataFram
     ends the count, but the text after it is still compared with the one before.
     """
     order = Window.partitionBy("file_id").orderBy("seq")
-    key = normalised(filled(F.col("text")))
-    out = segments.withColumn("__key", F.when(F.length(key) >= shortest, key))
+    out = segments.withColumn("__key", let(normalised(filled(F.col("text"))), lambda key: F.when(F.length(key) >= shortest, key)))
     before = F.last("__key", ignorenulls=True).over(order.rowsBetween(FIRST, -1))
     out = out.withColumn("__rep", F.coalesce(F.col("__key") == before, F.lit(False)).cast("int"))
-    out = out.withColumn("__run", F.sum(1 - F.col("__rep")).over(order.rowsBetween(FIRST, 0)))
-    out = out.withColumn("__n", F.sum("__rep").over(Window.partitionBy("file_id", "__run").orderBy("seq").rowsBetween(FIRST, 0)))
-    return out.filter((F.col("__n") <= cap) & F.col("__key").isNotNull()).drop("__key", "__rep", "__run", "__n")
+    out = out.withColumn("__all", F.sum("__rep").over(order.rowsBetween(FIRST, 0)))
+    run_start = F.max(F.when(F.col("__rep") == 0, F.col("__all"))).over(order.rowsBetween(FIRST, 0))  # the sum never falls, so the greatest is the last
+    out = out.withColumn("__n", F.col("__all") - run_start)
+    return out.filter((F.col("__n") <= cap) & F.col("__key").isNotNull()).drop("__key", "__rep", "__all", "__n")
 
 
 def seen_cut(segments: DataFrame, limit: int = 3, shortest: int = 5) -> DataFrame:

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.collect import results
+from ..operators.collect import results, results_of_arrays
 from ..operators.loops import truncate_loops
-from ..operators.merge import merge_short
+from ..operators.merge import merged_by_file
 from ..operators.repeats import run_capped, seen_cut
-from ..operators.retry import best_pick
+from ..operators.retry import best_pick, best_try
 from ..schema import CLASSIC, SMART, Settings
 
 
-def smart(segments: DataFrame, candidates: DataFrame | None = None, settings: Settings = SMART) -> DataFrame:
-    """Retries, then repeats, then merging; text from what is left, not trimmed."""
+def smart(segments: DataFrame, candidates: DataFrame | Column | None = None, settings: Settings = SMART) -> DataFrame:
+    """Retries, then repeats, then merging; text from what is left, not trimmed.
+
+    ``candidates`` is a relation, or an array in each segment's own row, which needs no join.
+    """
     out = segments
     if settings.retry and candidates is not None:
-        out = best_pick(out, candidates, settings.confidence, settings.max_attempts).drop("attempt")
+        pick = best_try if isinstance(candidates, Column) else best_pick
+        out = pick(out, candidates, settings.confidence, settings.max_attempts).drop("attempt")
     if settings.remove_repeats:
         out = run_capped(out, settings.run_cap)
     if settings.merge_short:
-        out = merge_short(out, settings.shortest, settings.largest_gap)
+        return results_of_arrays(merged_by_file(out, settings.shortest, settings.largest_gap))
     return results(out)
 
 

@@ -44,3 +44,10 @@ def candidates_from_segments(segments: DataFrame, attempts: int = 3) -> DataFram
     tried = segments.select("file_id", "seq", "text", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     metrics = synthetic_metrics(F.col("file_id"), F.col("seq"), (F.col("attempt") + 1) * 37)
     return tried.select("file_id", "seq", "attempt", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), *[c.alias(k) for k, c in metrics.items()])
+
+
+def tries_of_segment(attempts: int = 3) -> Column:
+    """The same candidates as an array in the segment's own row."""
+    text = F.concat(F.lit(" "), "text", F.lit(" ")).alias("text")
+    metrics = [[c.alias(k) for k, c in synthetic_metrics(F.col("file_id"), F.col("seq"), (a + 1) * 37).items()] for a in range(attempts)]
+    return F.array(*[F.struct(F.lit(a).alias("attempt"), text, *m) for a, m in enumerate(metrics)])
